@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 
+#: Rows up to which a small table (rates, benchmark blocks) is broadcast; each use counts them first.
+FEW = 10_000
+
 _U = np.uint64
 _MIX1, _MIX2, _GOLD = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -237,11 +240,3 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60)
         if rounds:
             raise RuntimeError(f"no fixed point after {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
-
-
-def empty_if_null(col: str) -> F.Column:
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
-
-
-def one_per_row_key(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.dropDuplicates(cols)
