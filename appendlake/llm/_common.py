@@ -7,9 +7,11 @@ that a lost executor costs a recomputation and never a file.
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,10 @@ def bound_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch holds, however long single texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    # Workers import this package from where the driver has it, unless it is installed or shipped otherwise.
+    environment, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH")]))
 
 
 # --- scratch -----------------------------------------------------------------
@@ -132,7 +138,21 @@ class Chunk:
         return np.repeat(np.arange(self.hi - self.lo), np.diff(self.first))
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_FOLD[[*b"!\"'(),-./:;?[]_{}`|<>#*$%&+=~^@\\"]] = 32
+
+
+def fold(data: np.ndarray) -> np.ndarray:
+    """Lower-cases ASCII and Latin-1 letters and turns ASCII punctuation into spaces; lengths stay."""
+    out = _FOLD[data]
+    upper = np.zeros(len(data), bool)
+    upper[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    out[upper] += 32
+    return out
+
+
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, folded: bool = False) -> Iterator[Chunk]:
     """Cuts a column of texts (null: empty) into chunks of at most limit bytes, or of one text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -147,6 +167,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
         hi = min(hi, n)
         part, own = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        part = fold(part) if folded else part
         white = _WHITE[part]
         before, after = np.ones(len(part), bool), np.ones(len(part), bool)
         before[1:], after[:-1] = white[:-1], white[1:]
