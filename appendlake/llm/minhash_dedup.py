@@ -14,8 +14,9 @@ for texts that still have an empty register.
 No pairs inside a bucket are listed. Equal texts are one node. Each bucket
 links its members to one pivot (a star), the links are verified, and classes
 follow. What then still shares a bucket with another class meets a second
-pivot, and only the members of different classes that remain, whose signatures
-agree enough, are compared one by one.
+pivot. Of the members of different classes that remain, those are compared one by
+one that could reach the similarity by what they share with any of the rest, and
+whose signatures agree enough.
 
 Cases: a null or an empty text has no shingles and is linked to equal texts
 only (nulls to nothing). A text of one to four words has one shingle. Rows
@@ -155,6 +156,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
 
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c in C.chunks(b.column("text")):
+            d, s, w = bags(c)
+            yield pa.RecordBatch.from_arrays([b.column("node").slice(c.lo, c.hi - c.lo).take(pa.array(d)), pa.array(s.view(np.int64)), pa.array(w.astype(np.int32))], names=["node", "shingle", "n"])
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c in C.chunks(b.column("text")):
+            n = np.diff(c.first)
+            n = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
+            yield pa.RecordBatch.from_arrays([b.column("node").slice(c.lo, c.hi - c.lo), pa.array(n)], names=["node", "size"])
+
+
 def _agreeing(x: str, y: str) -> F.Column:
     """How many registers of two texts agree in all planes."""
     differ = [" | ".join(f"({x}[{p * LONGS + w}] ^ {y}[{p * LONGS + w}])" for p in range(PLANES)) for w in range(LONGS)]
@@ -197,11 +213,22 @@ class NearDuplicates:
         good = save(good.unionByName(second.where(F.col("sim") >= SIMILARITY)), "good")
         comps = C.components(self.scratch, good, "cc-b")
         left = self._open(buckets, comps, "open-b")
-        sig = signed.select("node", "sig").groupBy("node").agg(F.first("sig").alias("sig"))
-        left = save(left.join(sig, "node").select("key", "node", "comp", "sig"), "left")
-        other = left.select("key", F.col("node").alias("node2"), F.col("comp").alias("comp2"), F.col("sig").alias("sig2"))
-        rest = left.join(other, (left["key"] == other["key"]) & (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & (_agreeing("sig", "sig2") >= AGREE))
-        third = self._verified(texts, rest.select(F.col("node").alias("a"), F.col("node2").alias("b")), "rest")
+        # What a node alone has of all these nodes' shingles lies outside any overlap; with more than its part of that, it links to none.
+        nodes = left.select("node").distinct()
+        counts = texts.join(nodes, "node").mapInArrow(_weights, "node binary, shingle long, n int")
+        own = counts.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("n").alias("n"))
+        alone = own.where("node = other").groupBy("node").agg(F.sum("n").alias("alone"))
+        size = texts.join(nodes, "node").mapInArrow(_sizes, "node binary, size long")
+        bound = save(size.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")).where(F.col("shared") >= SIMILARITY * F.col("size")), "bound")
+        sig = signed.select("node", "sig").join(bound, "node").groupBy("node", "size", "shared").agg(F.first("sig").alias("sig"))
+        left = left.select("key", "node", "comp").join(sig, "node")
+        most = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+        left = save(left.join(most.select("key", F.col("top.comp").alias("main")), "key"), "left")
+        # Pairs inside a bucket's largest class aren't looked at.
+        few, other = left.where("comp <> main").alias("x"), left.alias("y")
+        least = "least(x.shared, y.shared)"
+        rest = few.join(other, F.expr(f"x.key = y.key and x.comp <> y.comp and (y.comp = y.main or x.node < y.node) and {1 + SIMILARITY} * {least} >= {SIMILARITY} * (x.size + y.size)") & (_agreeing("x.sig", "y.sig") >= AGREE))
+        third = self._verified(texts, rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "rest")
         good = save(good.unionByName(third.where(F.col("sim") >= SIMILARITY)), "links")
         return members, good, C.components(self.scratch, good, "cc-c")
 
