@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup
+from . import decontaminate, html_extract, language_id, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op5_language_id": language_id.op5_language_id,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_poisson_mixing": mixing.op7_poisson_mixing,
+    "op8_html_extract": html_extract.op8_html_extract,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
