@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup
+from . import decontaminate, html_extract, language_id, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
     "op5_language_id": language_id.op5_language_id,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_poisson_mixing": mixing.OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.OP1_SQL, "op7_poisson_mixing": mixing.OP7_SQL}
