@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup
+from . import decontaminate, html_extract, language_id, license_scan, minhash_dedup, mixing, quality_classifier, quality_rules, substring_dedup, warc
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_minhash_dedup": minhash_dedup.op3_minhash_dedup,
+    "op4_warc_index": warc.op4_warc_index,
     "op5_language_id": language_id.op5_language_id,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_poisson_mixing": mixing.op7_poisson_mixing,
