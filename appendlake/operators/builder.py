@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import astuple, is_dataclass
+from decimal import Decimal
 from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .commit import sort_columns
 from .dedupe import Greedy, anti_existing, greedy_unique
@@ -67,6 +69,9 @@ class TableBuilder:
         for i, c in enumerate(self.table.schema.columns):
             if not c.hints.optional and any(r[i] is None for r in rows):
                 raise ValueError(f"column {c.name} has nulls and isn't optional")
+        wide = [i for i, f in enumerate(self.table.struct.fields) if isinstance(f.dataType, T.DecimalType)]
+        if wide:  # whole numbers wider than Spark's bigint are stored as decimals
+            rows = [tuple(Decimal(v) if i in wide and isinstance(v, int) else v for i, v in enumerate(r)) for r in rows]
         df = self.table.spark.createDataFrame(rows, self.table.struct)
         if order := sort_columns(self.table):
             df = df.sortWithinPartitions(*order) if df.rdd.getNumPartitions() == 1 else df.orderBy(*order)
