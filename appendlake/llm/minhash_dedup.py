@@ -13,8 +13,8 @@ for texts that still have an empty register.
 
 No pairs inside a bucket are listed. Equal texts are one node. Each bucket
 links its members to one pivot (a star), the links are verified, and classes
-follow. What then still shares a bucket with another class meets a second
-pivot. Of the members of different classes that remain, those are compared one by
+follow. What then still shares a bucket with another class meets the bucket's hub,
+the member with the least shingles of its own. Of the members of different classes that remain, those are compared one by
 one that could reach the similarity by what they share with any of the rest, and
 whose signatures agree enough.
 
@@ -196,7 +196,7 @@ class NearDuplicates:
         entries = signed.select("node", F.explode("bands").alias("key")).where("key is not null")
         # A bucket matters if it has two different nodes; pre-aggregated before the shuffle.
         stars = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-        buckets = save(entries.join(stars, "key").select("key", "node", "lo", "hi").distinct(), "buckets")
+        buckets = save(entries.join(stars, "key").select("key", "node", "lo").distinct(), "buckets")
         # Of equal texts, the row with the least id gives the text; equal texts meet by (node, id), which spreads them.
         spare = F.coalesce("doc_id", F.lit(-(2**63))).alias("id")
         least = members.select("node", spare).groupBy("node").agg(F.min("id").alias("id"))
@@ -207,22 +207,24 @@ class NearDuplicates:
         first = self._verified(texts, buckets.select(F.col("lo").alias("a"), F.col("node").alias("b")), "star-lo")
         good = first.where(F.col("sim") >= SIMILARITY)
         comps = C.components(self.scratch, good, "cc-a")
-        # Members that share a bucket with another class meet the bucket's other end.
+        # Of the nodes that share a bucket with another class: what one alone has of all their shingles lies outside any
+        # overlap, and with more than its part of that it links to none.
         open_ = self._open(buckets, comps, "open-a")
-        second = self._verified(texts, open_.where("hi <> node and chi <> comp").select(F.col("hi").alias("a"), F.col("node").alias("b")), "star-hi")
-        good = save(good.unionByName(second.where(F.col("sim") >= SIMILARITY)), "good")
-        comps = C.components(self.scratch, good, "cc-b")
-        left = self._open(buckets, comps, "open-b")
-        # What a node alone has of all these nodes' shingles lies outside any overlap; with more than its part of that, it links to none.
-        nodes = left.select("node").distinct()
+        nodes = open_.select("node").distinct()
         counts = texts.join(nodes, "node").mapInArrow(_weights, "node binary, shingle long, n int")
         own = counts.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("n").alias("n"))
         alone = own.where("node = other").groupBy("node").agg(F.sum("n").alias("alone"))
         size = texts.join(nodes, "node").mapInArrow(_sizes, "node binary, size long")
         bound = save(size.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")).where(F.col("shared") >= SIMILARITY * F.col("size")), "bound")
+        # They meet the bucket's member that has least of its own: of variants of one text, the one nearest to all.
+        able = open_.select("key", "node", "comp").join(bound, "node")
+        hubs = able.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("size"), "node", "comp")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"))
+        second = self._verified(texts, able.join(hubs, "key").where("hub_comp <> comp").select(F.col("hub").alias("a"), F.col("node").alias("b")), "star-hub")
+        good = save(good.unionByName(second.where(F.col("sim") >= SIMILARITY)), "good")
+        comps = C.components(self.scratch, good, "cc-b")
         sig = signed.select("node", "sig").join(bound, "node").groupBy("node", "size", "shared").agg(F.first("sig").alias("sig"))
-        left = left.select("key", "node", "comp").join(sig, "node")
-        most = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+        left = self._open(open_.select("key", "node").join(bound.select("node"), "node"), comps, "open-b").join(sig, "node")
+        most = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"))
         left = save(left.join(most.select("key", F.col("top.comp").alias("main")), "key"), "left")
         # Pairs inside a bucket's largest class aren't looked at.
         few, other = left.where("comp <> main").alias("x"), left.alias("y")
@@ -233,10 +235,10 @@ class NearDuplicates:
         return members, good, C.components(self.scratch, good, "cc-c")
 
     def _open(self, buckets: DataFrame, comps: DataFrame, name: str) -> DataFrame:
-        """Entries of buckets that hold more than one class, with their own class and that of hi."""
-        own = buckets.join(comps.withColumnRenamed("comp", "c"), "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c")
-        many = own.groupBy("key").agg(F.min("comp").alias("cl"), F.max("comp").alias("ch"), F.max(F.when(F.col("node") == F.col("hi"), F.col("comp"))).alias("chi")).where("cl <> ch")
-        return self.scratch.save(own.join(many.select("key", "chi"), "key"), name)
+        """(key, node, comp): the entries of buckets that hold more than one class."""
+        own = buckets.select("key", "node").join(comps.withColumnRenamed("comp", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("comp"))
+        many = own.groupBy("key").agg(F.min("comp").alias("cl"), F.max("comp").alias("ch")).where("cl <> ch")
+        return self.scratch.save(own.join(many.select("key"), "key"), name)
 
     def _verified(self, texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
         pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
