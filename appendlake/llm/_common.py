@@ -7,6 +7,7 @@ that a lost executor costs a recomputation and never a file.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -85,7 +86,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
+        """Removes a table that no later step reads; shuffle files of the steps behind it go with them, not when memory runs low."""
         remove(self.spark, f"{self.root}/{name}")
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 # --- words -------------------------------------------------------------------
@@ -252,7 +256,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60)
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         small = small.where("u <> v").distinct()
         now = scratch.save(small, f"{name}-{i + 1}")
-        scratch.drop(last)
+        remove(spark, f"{scratch.root}/{last}")
         last = f"{name}-{i + 1}"
         state, old = print_of(now), state
         if state == old:

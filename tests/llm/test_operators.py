@@ -102,7 +102,7 @@ def test_components(spark):
 
 
 def test_substring(spark, docs, odd):
-    got = substring_dedup.spans(C.Scratch(spark, "t"), substring_dedup._keyed(docs))
+    got, _ = substring_dedup.spans(C.Scratch(spark, "t"), substring_dedup._keyed(docs))
     covered = defaultdict(set)
     for r in substring_dedup.passages(got).collect():
         covered[r.k].update(range(r.a, r.b))
