@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from pathlib import Path
-from urllib.parse import urlsplit
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,17 +88,16 @@ def row_lens(spark: SparkSession, paths: list[str], format: str, schema: T.Struc
     if format == "ipc":
         return {p: scan_files(spark, p, "ipc", schema).count() for p in paths}
     found = scan_files(spark, paths, format, schema).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
-    tail = {p.rpartition("/")[2] if len(paths) == 1 else _plain(p): p for p in paths}
+    # Spark gives paths as URIs, in which what a folder's name escapes is escaped once more.
+    plain = {_local(p): p for p in paths}
     out = dict.fromkeys(paths, 0)
     for path, n in found.toLocalIterator():
-        out[tail.get(_plain(path), tail.get(path.rpartition("/")[2], path))] = n
+        out[plain[_local(unquote(path))]] = n
     return out
 
 
-def _plain(path: str) -> str:
-    from urllib.parse import unquote
-
-    return unquote(path).replace("file:///", "/").replace("file:", "")
+def _local(path: str) -> str:
+    return path.replace("file:///", "/").replace("file:", "")
 
 
 def data_root() -> str:
