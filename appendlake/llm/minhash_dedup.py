@@ -226,10 +226,11 @@ class NearDuplicates:
         left = self._open(open_.select("key", "node").join(bound.select("node"), "node"), comps, "open-b").join(sig, "node")
         most = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"))
         left = save(left.join(most.select("key", F.col("top.comp").alias("main")), "key"), "left")
-        # Pairs inside a bucket's largest class aren't looked at.
+        # A pair is looked at in the least bucket that both are in; pairs inside a bucket's largest class aren't.
+        left = left.join(left.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node")  # at most BANDS keys
         few, other = left.where("comp <> main").alias("x"), left.alias("y")
         least = "least(x.shared, y.shared)"
-        rest = few.join(other, F.expr(f"x.key = y.key and x.comp <> y.comp and (y.comp = y.main or x.node < y.node) and {1 + SIMILARITY} * {least} >= {SIMILARITY} * (x.size + y.size)") & (_agreeing("x.sig", "y.sig") >= AGREE))
+        rest = few.join(other, F.expr(f"x.key = y.key and x.comp <> y.comp and (y.comp = y.main or x.node < y.node) and {1 + SIMILARITY} * {least} >= {SIMILARITY} * (x.size + y.size)") & (_agreeing("x.sig", "y.sig") >= AGREE) & F.expr("array_min(array_intersect(x.keys, y.keys)) = x.key"))
         third = self._verified(texts, rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "rest")
         good = save(good.unionByName(third.where(F.col("sim") >= SIMILARITY)), "links")
         return members, good, C.components(self.scratch, good, "cc-c")
