@@ -230,3 +230,19 @@ def test_url_keys():
 
 def test_unit_is_sql():
     assert "md5" in mixing.unit("'a'")
+
+
+def test_align_goes_on_over_edits():
+    """Passages of 50 to 100 words with an edit at every position: the span is that between the outermost equal words."""
+    rng = np.random.default_rng(8)
+    for n in (50, 60, 100):
+        for at in range(n):
+            a = rng.integers(1 << 20, 1 << 30, n + 40).astype(np.uint32)
+            b = rng.integers(1 << 20, 1 << 30, n + 50).astype(np.uint32)
+            b[30 : 30 + n] = a[20 : 20 + n]
+            b[30 + at] = 7
+            seed = n // 2 if abs(at - n // 2 - 2) > 8 else n // 4
+            got = U.align(a, b, np.array([20 + seed]), np.array([30 + seed]))
+            same = [i for i in range(n) if i != at]
+            assert got[:4] == (20 + same[0], 21 + same[-1], 30 + same[0], 31 + same[-1])
+            assert got[4] == pytest.approx(len(same) / (same[-1] - same[0] + 1))

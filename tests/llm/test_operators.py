@@ -283,3 +283,13 @@ def test_archives(spark):
     s = C.Scratch(spark, "t")
     warc.write_archives(spark, pages.limit(0), f"{s.root}/a")
     assert warc.index(s, warc.read_archives(spark, f"{s.root}/a")).count() == 0
+
+
+def test_substring_fetches_more_words(spark):
+    """A run of equal words, then 120 words without a common seed of which four in five are equal: further than PAD."""
+    first = [f"p{i}" for i in range(160)]
+    second = [f"q{i}" if i >= 40 and i % 5 == 1 else w for i, w in enumerate(first)]
+    frame = lambda x: " ".join([*(f"{x}a{i}" for i in range(30)), *(first if x == "x" else second), *(f"{x}b{i}" for i in range(30))])
+    df = spark.createDataFrame([(1, frame("x")), (2, frame("y"))], "doc_id long, text string")
+    got, _ = substring_dedup.spans(C.Scratch(spark, "t"), substring_dedup._keyed(df))
+    assert [(r.k, r.a, r.b, r.src) for r in substring_dedup.passages(got).collect()] == [(2, 30, 190, 1)]
