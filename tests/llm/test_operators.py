@@ -293,3 +293,18 @@ def test_substring_fetches_more_words(spark):
     df = spark.createDataFrame([(1, frame("x")), (2, frame("y"))], "doc_id long, text string")
     got, _ = substring_dedup.spans(C.Scratch(spark, "t"), substring_dedup._keyed(df))
     assert [(r.k, r.a, r.b, r.src) for r in substring_dedup.passages(got).collect()] == [(2, 30, 190, 1)]
+
+
+def test_substring_of_frequent_lines(spark):
+    """Passages in two documents made of lines that earlier documents have one by one: each passage is found."""
+    rows, want, n = [], {}, 1000
+    for t in range(40):
+        lines = [" ".join(f"t{t}l{i}w{j}" for j in range(15)) for i in range(4)]
+        rows += [(t * 4 + i, f"{line} other{t * 4 + i}") for i, line in enumerate(lines)]
+        rows += [(n, " ".join([f"a{n}", *lines, f"b{n}"])), (n + 1, " ".join([f"a{n + 1}", *lines, f"b{n + 1}"]))]
+        want[n + 1] = (1, 61)
+        n += 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, _ = substring_dedup.spans(C.Scratch(spark, "t"), substring_dedup._keyed(df))
+    found = {r.k: (r.a, r.b) for r in substring_dedup.passages(got).collect()}
+    assert {k: found.get(k) for k in want} == want
