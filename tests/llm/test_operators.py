@@ -308,3 +308,17 @@ def test_substring_of_frequent_lines(spark):
     got, _ = substring_dedup.spans(C.Scratch(spark, "t"), substring_dedup._keyed(df))
     found = {r.k: (r.a, r.b) for r in substring_dedup.passages(got).collect()}
     assert {k: found.get(k) for k in want} == want
+
+
+def test_substring_of_edited_passages(spark):
+    """Passages of 60 words with every 10th or every 7th word changed."""
+    rows, n = [], 100
+    for t in range(n):
+        w = [f"t{t}w{i}" for i in range(60)]
+        step = 10 if t % 2 else 7
+        edited = [f"e{t}w{i}" if i % step == step - 1 else x for i, x in enumerate(w)]
+        rows += [(t, " ".join([*(f"a{t}x{i}" for i in range(20)), *w])), (n + t, " ".join([*(f"b{t}x{i}" for i in range(20)), *edited]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, _ = substring_dedup.spans(C.Scratch(spark, "t"), substring_dedup._keyed(df))
+    found = {r.k for r in substring_dedup.passages(got).collect()}
+    assert found <= set(range(n, 2 * n)) and len(found) >= 0.95 * n
