@@ -322,3 +322,16 @@ def test_substring_of_edited_passages(spark):
     got, _ = substring_dedup.spans(C.Scratch(spark, "t"), substring_dedup._keyed(df))
     found = {r.k for r in substring_dedup.passages(got).collect()}
     assert found <= set(range(n, 2 * n)) and len(found) >= 0.95 * n
+
+
+def test_leaks_of_many_short_items(spark, docs):
+    """More short items than one block has directions for, each copied word for word into a document."""
+    import random
+
+    rnd, n = random.Random(4), 1000
+    texts = [r.text.split() for r in docs.where("n_chars > 600").orderBy("doc_id").collect()]
+    vocabulary = [w for t in texts for w in t]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(8))) for i in range(n)]
+    hosts = [(i, " ".join([*texts[i % len(texts)][:60], item, *texts[i % len(texts)][60:120]])) for i, item in items]
+    got = decontaminate.leaks(spark, spark.createDataFrame(hosts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert got.where("doc_id = item_id").select("doc_id").distinct().count() >= 0.95 * n
