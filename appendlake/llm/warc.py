@@ -18,8 +18,9 @@ and `position` is a capture's place in it.
 Cases: a null html is an empty payload, and so a response. A null page_id has no
 X-Page-Id, comes back as null, never is the largest and refers like any other. A
 null url has no target URI and the empty URL key. Rows that repeat the largest
-page_id of a group are all responses. White space in a URL is percent-coded.
-Other columns don't matter.
+page_id of a group are all responses, so ties need no order. White space in a URL is percent-coded.
+Very long pages are one record each, whole. An empty table gives archives without records
+and an empty index. Other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -93,8 +94,8 @@ def url_key(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (s.path or "/").lower() + (f"?{'&'.join(sorted(s.query.lower().split('&')))}" if s.query else "")
 
 
-def parse(chunks: Iterator[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, headers, block) of the records of a stream of bytes."""
+def parse(chunks: Iterator[bytes], open_end: bool = False) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(offset, headers, block) of the records of a stream of bytes; with open_end, the last one may lack the CRLF CRLF behind it."""
     buffer, at, offset = bytearray(), 0, 0
     head = None
 
@@ -118,7 +119,9 @@ def parse(chunks: Iterator[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]
             if at > 1 << 20:
                 del buffer[:at]
                 offset, at = offset + at, 0
-    if head is not None or at != len(buffer):
+    if open_end and head is not None and len(buffer) == stop:
+        yield offset + at, head, bytes(buffer[start:stop])
+    elif head is not None or at != len(buffer):
         raise ValueError("the archive ends inside a record")
 
 
@@ -142,14 +145,20 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments between CRLF CRLF, file by file and in order, to captures."""
+    """Segments between CRLF CRLF, file by file and in order, to captures.
+
+    Spark doesn't tell whether a file's last segment had a CRLF CRLF behind it, so each stands before the next segment.
+    """
     rows: list[tuple] = []
 
     def segments() -> Iterator[tuple[str, bytes]]:
+        last = None
         for b in batches:
             files = b.column("file")
             for i, v in enumerate(b.column("value")):
-                yield files[i].as_py(), v.as_py().encode() + b"\r\n\r\n"
+                file = files[i].as_py()
+                yield file, (END.encode() if file == last else b"") + v.as_py().encode()
+                last = file
 
     stream = segments()
     ahead = next(stream, None)
@@ -162,7 +171,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield ahead[1]
                 ahead = next(stream, None)
 
-        for offset, head, block in parse(one()):
+        for offset, head, block in parse(one(), open_end=True):
             rows.append(_capture(file, offset, head, block))
             if len(rows) == 4096:
                 yield _batch(rows)
