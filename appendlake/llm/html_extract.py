@@ -1,21 +1,27 @@
 """HTML extraction by minimum cut: block labels from a classifier's costs, smoothed along the page and the DOM.
 
-The page is cut into blocks of text at block-level tags. Each block has a net
-cost of being boilerplate rather than content: a logistic classifier's log odds
-from its text (length, link density, punctuation, place), plus fixed costs of the
-landmarks that it lies in. These are the capacities to source and sink; edges
-join following blocks, weaker with their distance in the DOM, and the next block
-of the same parent; no edge crosses a landmark's border. The minimum cut is
-unique up to zero costs: blocks whose own cost outweighs their edges are settled
+The page is cut into blocks of text at block-level tags. A logistic classifier gives
+each block its log odds of being content, from its text (length, link density,
+punctuation, place), its element and what its element's parents hold, and the kind of
+landmark that it lies in (article, nav, class names and so on; their weights are
+learnt like all others). These log odds are the capacities to source and sink. Edges
+join following blocks, weaker with their distance in the DOM, and the next block of the
+same parent; an edge across a landmark's border has a BORDER of its weight. The minimum
+cut is unique up to zero costs: blocks whose own cost outweighs their edges are settled
 first, which is exact, and the rest goes through Dinic's max-flow.
 
 The classifier is trained on a bounded sample of pages, their own <article> and
-<main> being the labels, on features that don't see the tags.
+<main> being the labels. Every page is learnt from twice, once without its landmarks,
+so that the text has to carry what it can and landmarks weigh the rest only; pages
+without landmarks are then told by text, elements and the cut.
 
 Cases: null and empty pages, and pages without text, give an empty text. Broken
-markup is read as far as it goes: unclosed tags end with their parent, an unclosed
-comment or script with the page, a lone '<' is text. Pages without a landmark rest
-on the classifier and the edges. Equal pages give equal rows.
+markup is read as far as it goes: unclosed tags end with their parent (skipped ones,
+such as button, too), an unclosed comment or script with the page, a lone '<' is text.
+Very long pages are read whole. Equal pages, whether rows repeat or not, give equal
+rows; blocks whose costs are zero are no content. An empty table gives an empty one.
+Without a page that has an article the weights are fixed ones. Other columns, whatever
+their names, don't matter.
 """
 
 from __future__ import annotations
@@ -33,7 +39,12 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 SAMPLE_PAGES = 1_000
-LANDMARK, KEYWORD, HEADING, NEAR, SIBLING = 12.0, 6.0, 2.0, 1.0, 0.5
+NEAR, SIBLING, BORDER = 1.5, 0.75, 0.2
+FEATURES = 24
+#: Weights before anything is learnt, and where no page has an article to learn from: length, links and a sentence's end, and a landmark's kinds.
+FIXED = [-2.0, 0.6, -3.0, 1.0, *[0.0] * 6, *[0.0] * 11, -6.0, 5.0, 2.5]
+#: How much learning holds on to them: landmarks that the sample's pages lack keep their weight.
+RIDGE = [*[1e-3] * (FEATURES - 3), *[0.1] * 3]
 
 _TOKEN = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z))", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -41,8 +52,8 @@ _ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _words = lambda s: frozenset(s.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
-SKIP = _words("script style noscript template svg iframe object canvas head title math audio video map datalist select textarea button")
-RAW = _words("script style textarea title noscript iframe template svg math")
+SKIP = _words("script style noscript template svg iframe object canvas head title audio video map datalist select textarea button")
+RAW = _words("script style textarea title noscript iframe template svg")
 INLINE = _words("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img")
 CLOSES = {"li": _words("li"), "p": _words("p"), "dt": _words("dt dd"), "dd": _words("dt dd"), "tr": _words("tr td th"), "td": _words("td th"), "th": _words("td th"), "option": _words("option")}
 BOUND = _words("ul ol table tbody thead div section article main body dl nav aside header footer form tr")
@@ -127,7 +138,10 @@ def blocks(page: str | None) -> list[Block]:
         if skip is not None:
             if closing and tag == skip:
                 skip = None
-            continue
+                continue
+            if skip in RAW or not (closing and any(e.tag == tag for e in stack) or not closing and (tag in TAGS or tag in _HEADS)):
+                continue
+            skip = None  # it was never closed: its parent ends, or a landmark or heading begins
         if closing:
             if tag not in INLINE:
                 flush()
@@ -186,9 +200,9 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def landmark(e: Element) -> tuple[float, Element | None]:
-    """Fixed cost of what lies in e, and the landmark element that decides."""
-    good, article = (0.0, None), False
+def landmark(e: Element) -> tuple[int, Element | None]:
+    """What a block in e lies in, and the element that decides: -1 a landmark of boilerplate, 2 an article, 1 an element named like content, 0 none."""
+    good, article = (0, None), False
     chain = []
     while e is not None:
         chain.append(e)
@@ -196,37 +210,55 @@ def landmark(e: Element) -> tuple[float, Element | None]:
     for e in chain:  # from inside out
         kind = TAGS.get(e.tag, 0)
         if e.words & BOILER and not e.holds and e.tag not in ("p", *_HEADS):
-            return -LANDMARK, e
+            return -1, e
         inside = e.tag == "header" and any(TAGS.get(x.tag) == 1 for x in chain)  # an article's own header
         wraps = e.tag == "form" and (article or e.holds)  # a form around the whole page
         if kind < 0 and not inside and not wraps:
-            return -LANDMARK, e
+            return -1, e
         if kind > 0 and not article:
-            article, good = True, (KEYWORD, e)
+            article, good = True, (2, e)
         elif not article and not good[1] and e.words & GOOD:
-            good = (KEYWORD / 2, e)
+            good = (1, e)
     return good
 
 
-def text_features(own: list[Block]) -> np.ndarray:
-    """blocks x 7, from the text alone."""
-    rows = []
+def features(own: list[Block], kinds: list[int]) -> np.ndarray:
+    """blocks x FEATURES: of the text, its neighbours, its element and the elements around it; the last three say what kind of landmark it lies in."""
+    length, linked, held = [len(b.text) for b in own], [b.linked for b in own], {}
+    for b, n, k in zip(own, length, linked, strict=True):
+        e, seen = b.element, 0
+        while e is not None and seen < 3:
+            x = held.setdefault(id(e), [0, 0, 0])
+            x[0], x[1], x[2] = x[0] + n, x[1] + k, x[2] + 1
+            e, seen = e.parent, seen + 1
+    total, rows = sum(length), []
     for i, b in enumerate(own):
-        n = len(b.text)
-        around = [len(own[j].text) for j in (i - 1, i + 1) if 0 <= j < len(own)]
-        rows.append((1.0, np.log1p(n), b.linked / n, float(b.text[-1] in ".!?\"”»…"), np.log1p(sum(around)), sum(map(b.text.count, ",.;:")) / n * 10, abs(i / max(1, len(own) - 1) - 0.5)))
-    return np.array(rows).reshape(-1, 7)
+        n, tag, around = length[i], b.element.tag, [j for j in (i - 1, i + 1) if 0 <= j < len(own)]
+        up = b.element.parent or b.element
+        parent, grand = held[id(up)], held.get(id(up.parent), held[id(up)])
+        rows.append(
+            (
+                1.0, np.log1p(n), linked[i] / n, float(b.text[-1] in ".!?\"\u201d\u00bb\u2026"), np.log1p(sum(length[j] for j in around)), sum(map(b.text.count, ",.;:")) / n * 10, abs(i / max(1, len(own) - 1) - 0.5),
+                max((linked[j] / length[j] for j in around), default=0.0), sum(length[j] > 80 for j in around) / 2, float(b.heading), float(tag == "p"), float(tag in ("li", "dd", "dt")), float(tag in ("td", "th")), float(tag in ("div", "section")),
+                np.log1p(parent[0]), parent[1] / max(1, parent[0]), parent[0] / total, np.log1p(parent[2]), parent[1] / max(1, parent[0]) * (tag == "li"), grand[1] / max(1, grand[0]), grand[0] / total,
+                float(kinds[i] < 0), float(kinds[i] == 2), float(kinds[i] == 1),
+            )
+        )
+    return np.array(rows).reshape(-1, FEATURES)
 
 
 def train(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights by Newton's method, with both labels weighing the same; zeros if one is missing."""
-    w = np.zeros(7)
+    """Logistic weights by Newton's method on pages with and without their landmarks, with both labels weighing the same; FIXED if one is missing."""
     if not len(y) or y.min() == y.max():
-        return np.array([-2.0, 0.6, -3.0, 1.0, 0.0, 0.0, 0.0])
-    side = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    for _ in range(25):
+        return np.array(FIXED)
+    bare = x.copy()
+    bare[:, -3:] = 0
+    x, y = np.concatenate([x, bare]), np.concatenate([y, y])
+    side, w, prior = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y), np.zeros(FEATURES), np.array(FIXED)
+    prior[:-3] = 0
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (side * p * (1 - p))[:, None]).T @ x + 0.01 * len(y) / 100 * np.eye(7), x.T @ (side * (p - y)) + 0.01 * len(y) / 100 * w)
+        w -= np.linalg.solve((x * (side * p * (1 - p))[:, None]).T @ x + np.diag(RIDGE), x.T @ (side * (p - y)) + RIDGE * (w - prior))
     return w
 
 
@@ -324,21 +356,24 @@ def _distance(a: Element, b: Element) -> int:
     return n
 
 
-def labels(own: list[Block], w: np.ndarray) -> list[bool]:
-    if not own:
-        return []
+def graph(own: list[Block], w: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Net costs and edges of a page's blocks."""
     marks = [landmark(b.element) for b in own]
-    soft = np.clip(text_features(own) @ w, -3, 3)
-    net = [float(soft[i]) + marks[i][0] + (HEADING if b.heading and marks[i][0] >= 0 else 0.0) for i, b in enumerate(own)]
+    net = np.clip(features(own, [m[0] for m in marks]) @ w, -50, 50).tolist()
     edges, last = [], {}
+    weight = lambda a, b, x: x if marks[a][1] is marks[b][1] else x * BORDER
     for i, b in enumerate(own):
-        if i and marks[i][1] is marks[i - 1][1]:
-            edges.append((i - 1, i, NEAR / max(1, _distance(own[i - 1].element, b.element) - 1)))
-        up = (id(b.element.parent), id(marks[i][1]))
+        if i:
+            edges.append((i - 1, i, weight(i - 1, i, NEAR / max(1, _distance(own[i - 1].element, b.element) - 1))))
+        up = id(b.element.parent)
         if up in last and last[up] != i - 1:
-            edges.append((last[up], i, SIBLING))
+            edges.append((last[up], i, weight(last[up], i, SIBLING)))
         last[up] = i
-    return cut(net, edges)
+    return net, edges
+
+
+def labels(own: list[Block], w: np.ndarray) -> list[bool]:
+    return cut(*graph(own, w)) if own else []
 
 
 def main_text(page: str | None, w: np.ndarray) -> str:
@@ -356,15 +391,15 @@ def fit(pages: DataFrame) -> np.ndarray:
             for page_id, page in zip(b.column("page_id").to_pylist(), b.column("html").to_pylist(), strict=True):
                 own = blocks(page)
                 marks = [landmark(x.element) for x in own]
-                if any(m[1] is not None and m[1].tag in ("article", "main") for m in marks):
+                if any(m[0] == 2 for m in marks):
                     ids.append(page_id)
-                    xs.append(text_features(own).ravel().tolist())
+                    xs.append(features(own, [m[0] for m in marks]).ravel().tolist())
                     ys.append([m[0] > 0 for m in marks])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(xs, pa.list_(pa.float64())), pa.array(ys, pa.list_(pa.bool_()))], names=["page_id", "x", "y"])
 
     some = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).join(F.broadcast(ids), "page_id")
     got = some.mapInArrow(run, "page_id long, x array<double>, y array<boolean>").groupBy("page_id").agg(F.min(F.struct("x", "y")).alias("r")).orderBy("page_id").select("r.*").toArrow()
-    x = np.array([v for r in got.column("x").to_pylist() for v in r]).reshape(-1, 7)
+    x = np.array([v for r in got.column("x").to_pylist() for v in r]).reshape(-1, FEATURES)
     return train(x, np.array([float(v) for r in got.column("y").to_pylist() for v in r]))
 
 
