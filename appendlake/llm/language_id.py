@@ -8,12 +8,15 @@ score is the family's logistic probability times the least of the winner's
 pairwise ones.
 
 Families are given by FAMILY; a language that isn't in it is a family of its own.
-Learning takes at most SAMPLE documents a language, those with the least hash.
+Learning takes all languages, at most SAMPLE documents of each and some SAMPLE_ALL in
+all, those with the least hash. What may be among them is known from the language's
+count, so that no language's documents meet in a task.
 
 Cases: text that is null or has no letter is `und` with score 0. Documents with a
 null lang or in the held-out fold aren't learnt from. If one language is learnt,
-every text with a letter is that; if none, all are `und`. Rows that repeat a doc_id
-are predicted one by one and learnt from once.
+every text with a letter is that; if none (as from an empty table), all are `und`.
+Rows that repeat a doc_id are predicted one by one and learnt from once. Very long
+texts count whole. Other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from . import docstats as S
 
 BITS = 11
 DIM = 1 << BITS
-SAMPLE, LANGUAGES = 1_200, 200
+SAMPLE, SAMPLE_ALL = 1_200, 24_000
 # Families of languages.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy",
@@ -130,10 +133,13 @@ class Languages:
 def fit(docs: DataFrame) -> Languages:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = docs.where("lang is not null and doc_id is not null and text is not null").where(~S.held_out())
-    some = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    ids = known.select("doc_id", "lang").join(F.broadcast(some), "lang").distinct()
+    counts = C.Scratch(docs.sparkSession, "languages").save(known.groupBy("lang").agg(F.count("*").alias("n")), "counts")
+    langs = counts.count()
+    most = max(1, min(SAMPLE, SAMPLE_ALL // max(1, langs)))
+    place = (F.xxhash64("doc_id").cast("double") / 2.0**64) + 0.5  # uniform; twice as many as are wanted lie below this bound
+    ids = known.select("doc_id", "lang").join(F.broadcast(counts) if langs <= C.FEW else counts, "lang").where(place <= 2.0 * most / F.col("n") + 50 / F.col("n")).select("doc_id", "lang").distinct()
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE).drop("rank")
+    ids = ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= most).drop("rank")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
