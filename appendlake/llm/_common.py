@@ -16,6 +16,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +93,12 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def spare(columns: list[str], name: str) -> str:
+    """A column name that isn't taken, whatever its case."""
+    taken = {c.lower() for c in columns}
+    return next(f"{name}{'_' * i}" for i in range(1, len(taken) + 2) if f"{name}{'_' * i}" not in taken)
+
+
 # --- words -------------------------------------------------------------------
 
 
@@ -234,34 +241,53 @@ def per_text(mask: np.ndarray, offs: np.ndarray) -> np.ndarray:
 # --- groups ------------------------------------------------------------------
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of a partition to (node, least node that they lead to), one for each node that isn't the least."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    edges = pa.Table.from_batches(held)
+    ends = pa.concat_arrays([c for n in ("u", "v") for c in edges.column(n).chunks])
+    names = ends.unique()
+    names = names.take(pc.sort_indices(names))  # a node's number is its place in order
+    at = pc.index_in(ends, names).to_numpy()
+    u, v = at[: edges.num_rows], at[edges.num_rows :]
+    root = np.arange(len(names))
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    node = np.flatnonzero(root != np.arange(len(root)))
+    for lo in range(0, len(node), 65_536):
+        part = node[lo : lo + 65_536]
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(part)), names.take(pa.array(root[part]))], names=["u", "v"])
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, comp) for the nodes of edges(a, b); comp is the least node that a path reaches.
 
-    Alternates large-star and small-star steps; each writes its edges, so a
-    lost executor repeats one step. A step adds no edges, and a hub's edges
-    are pre-aggregated (min) before they move.
+    Each partition's edges are first made a forest of stars. A round brings a node's edges together, makes
+    forests again, and leads each node to its root's root; it ends when every node has one root that has none.
+    Rounds write their edges, so a lost executor repeats one step. A partition has at most a node's edges
+    to the roots of other partitions together, never a star's members. More than `rounds` rounds are an error.
     """
-    spark = scratch.spark
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    state, last = print_of(now), f"{name}-0"
-    if not state[0]:
-        rounds = 0
-    for i in range(rounds):
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        small = small.where("u <> v").distinct()
-        now = scratch.save(small, f"{name}-{i + 1}")
-        remove(spark, f"{scratch.root}/{last}")
-        last = f"{name}-{i + 1}"
-        state, old = print_of(now), state
-        if state == old:
-            break
-    else:
-        if rounds:
-            raise RuntimeError(f"no fixed point after {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+    kind = next(f.dataType.simpleString() for f in edges.schema.fields if f.name == "a")
+    forest = lambda df: df.mapInArrow(_forest, f"u {kind}, v {kind}")
+    now, last = scratch.save(forest(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))), f"{name}-0"), f"{name}-0"
+    for i in range(1, rounds):
+        by_node = now.select("u", F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+        if by_node.groupBy("u").agg(F.sum("as_u").alias("us"), F.max("as_v").alias("vs")).where("us + vs > 1 and us > 0").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        one = scratch.save(forest(now.repartition("u")), f"{name}-{i}a")
+        up = one.select(F.col("u").alias("p"), F.col("v").alias("r")).groupBy("p").agg(F.min("r").alias("r"))
+        # Where a root has a root, both edges are kept apart: the node goes to the upper one, and the root has its own edge.
+        now = scratch.save(one.join(up, one["v"] == up["p"], "left").select("u", F.coalesce("r", "v").alias("v")), f"{name}-{i}")
+        for old in (last, f"{name}-{i}a"):
+            remove(scratch.spark, f"{scratch.root}/{old}")
+        last = f"{name}-{i}"
+    raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -11,17 +11,25 @@ registers agree with just the weighted Jaccard probability. Only points before
 a limit are made, which is where most of the work goes away; the limit doubles
 for texts that still have an empty register.
 
-No pairs inside a bucket are listed. Equal texts are one node. Each bucket
-links its members to one pivot (a star), the links are verified, and classes
-follow. What then still shares a bucket with another class meets the bucket's hub,
-the member with the least shingles of its own. Of the members of different classes that remain, those are compared one by
-one that could reach the similarity by what they share with any of the rest, and
-whose signatures agree enough.
+Equal texts are one node, and what follows is about nodes that share a bucket:
+
+1. A bucket's pivot is the member that shares buckets with most others: of variants
+   of one text, the one nearest to all. Each member is held against its pivot.
+2. What then shares a bucket with another class is held against single members of
+   it: first each against its nearest one, and after these links have joined
+   classes, against all that are left.
+
+Before any text is read, a pair must pass its sketches: SKETCH bits, each the parity
+of how many occurrences of shingles fall on it. Two sketches differ in no more bits
+than the bags in occurrences, so a pair that differs in more than 0.8 allows is no
+link, for certain; for long texts the bound is the number of bits that so many
+occurrences change, and six standard deviations. Pairs of one class aren't listed.
 
 Cases: a null or an empty text has no shingles and is linked to equal texts
-only (nulls to nothing). A text of one to four words has one shingle. Rows
-that repeat a doc_id keep a row each; a null doc_id stays null and is the
-class of nothing else unless all members' ids are null. Other columns,
+only (nulls to nothing). A text of one to four words has one shingle. Very long
+texts are read whole; their sketches let more pairs through. Rows that repeat a
+doc_id keep a row each; a null doc_id stays null and is the class of nothing else
+unless all members' ids are null. An empty table gives an empty one. Other columns,
 whatever their names, don't matter.
 """
 
@@ -39,10 +47,8 @@ from . import _common as C
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5  # a pair at 0.8 shares no band with a probability of 7e-6
 REGISTERS = BANDS * ROWS
-PLANES, LONGS = 4, -(-REGISTERS // 64)  # bits kept of each register for an estimate
-_SAME = SIMILARITY + (1 - SIMILARITY) / 2**PLANES
-#: Pairs of different classes are verified if at least so many registers agree in these bits; at 0.8, fewer do with a probability below 1e-6.
-AGREE = int(REGISTERS * (_SAME - 5 * (_SAME * (1 - _SAME) / REGISTERS) ** 0.5))
+SKETCH = 1024  # bits
+_LONGS = [f"s{i}" for i in range(SKETCH // 64)]
 _U = np.uint64
 
 
@@ -103,29 +109,30 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     return h
 
 
-def _planes(sig: np.ndarray) -> np.ndarray:
-    """PLANES x LONGS int64 a text: a bit of each register's hash in each plane."""
-    h = np.zeros((len(sig), LONGS * 64), _U)
-    h[:, :REGISTERS] = C.mix64(sig)
-    bits = np.stack([(h >> _U(p)) & _U(1) for p in range(PLANES)], axis=1).astype(np.uint8)
-    return np.packbits(bits, axis=2).view(np.int64).reshape(len(sig), PLANES * LONGS)
+def _sketch(d: np.ndarray, s: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+    """n x SKETCH / 64 int64: the parities of the occurrences of bags given as rows of (doc, shingle, weight)."""
+    turn = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+    bit = (C.mix64(np.repeat(s, w) + (turn.astype(_U) + _U(1)) * C._MIX2) & _U(SKETCH - 1)).astype(np.int64)
+    odd = (np.bincount(np.repeat(d, w) * SKETCH + bit, minlength=n * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, SKETCH), axis=1).view(np.int64)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for c in C.chunks(b.column("text")):
             n = c.hi - c.lo
-            sig = bag_minhash(*bags(c), n)
+            d, s, w = bags(c)
             some = np.diff(c.first) > 0
-            bands = _bands(sig).view(np.int64)
+            bands = _bands(bag_minhash(d, s, w, n)).view(np.int64)
             sizes = np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("node").slice(c.lo, n),
+                    pa.array(np.bincount(d, w, n).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(sizes), pa.array(bands[some].ravel())),
-                    pa.FixedSizeListArray.from_arrays(pa.array(_planes(sig).ravel()), PLANES * LONGS).cast(pa.list_(pa.int64())),
+                    pa.FixedSizeListArray.from_arrays(pa.array(_sketch(d, s, w, n).ravel()), SKETCH // 64).cast(pa.list_(pa.int64())),
                 ],
-                names=["node", "bands", "sig"],
+                names=["node", "size", "bands", "sketch"],
             )
 
 
@@ -156,29 +163,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
 
 
-def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for c in C.chunks(b.column("text")):
-            d, s, w = bags(c)
-            yield pa.RecordBatch.from_arrays([b.column("node").slice(c.lo, c.hi - c.lo).take(pa.array(d)), pa.array(s.view(np.int64)), pa.array(w.astype(np.int32))], names=["node", "shingle", "n"])
+def _differ(x: str, y: str) -> str:
+    """SQL for the bits in which two sketches differ."""
+    return " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _LONGS)
 
 
-def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for c in C.chunks(b.column("text")):
-            n = np.diff(c.first)
-            n = np.where(n > 0, np.maximum(n - SHINGLE + 1, 1), 0)
-            yield pa.RecordBatch.from_arrays([b.column("node").slice(c.lo, c.hi - c.lo), pa.array(n)], names=["node", "size"])
-
-
-def _agreeing(x: str, y: str) -> F.Column:
-    """How many registers of two texts agree in all planes."""
-    differ = [" | ".join(f"({x}[{p * LONGS + w}] ^ {y}[{p * LONGS + w}])" for p in range(PLANES)) for w in range(LONGS)]
-    return F.expr(f"{REGISTERS} - " + " - ".join(f"bit_count({d})" for d in differ))
+def _may_link(x: str, y: str) -> F.Column:
+    """Whether the sketches of x and y, frames with _LONGS and size, let them be linked."""
+    n = f"(({x}.size + {y}.size) * {(1 - SIMILARITY) / (1 + SIMILARITY)!r}D + 1e-6D)"  # occurrences of one bag only, at most
+    one, two, four = (f"pow({1 - k / SKETCH!r}D, {n})" for k in (2, 2, 4))
+    mean = f"{SKETCH / 2}D * (1D - {one})"
+    var = f"{SKETCH / 4}D * (1D - {two} * {two}) + {SKETCH * (SKETCH - 1) / 4}D * ({four} - {two} * {two})"
+    return F.expr(f"{_differ(x, y)} <= {n} and {_differ(x, y)} <= {mean} + 6D * sqrt(greatest(0D, {var}))")
 
 
 class NearDuplicates:
-    """classes(): doc_id, digest, class_id for each row of docs(doc_id, text)."""
+    """classes(): doc_id, class_id, class_size for each row of docs(doc_id, text)."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame):
         C.bound_batches(spark)
@@ -186,74 +186,79 @@ class NearDuplicates:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.docs = self.docs.withColumn("node", F.unhex(F.md5(F.col("text"))))
 
-    def links(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Members (doc_id, node), verified links (a, b, sim), and classes of linked nodes (node, comp)."""
+    def links(self) -> tuple[DataFrame, DataFrame]:
+        """Members (doc_id, node), and classes of linked nodes (node, comp)."""
         save = self.scratch.save
         members = save(self.docs.select("doc_id", "node"), "members")
-        # Of equal texts, one row with the least id stands for all.
-        one = self.docs.select("doc_id", "node", "text").where("text is not null")
-        signed = save(one.select("node", "text").mapInArrow(_sign, "node binary, bands array<long>, sig array<long>"), "signed")
-        entries = signed.select("node", F.explode("bands").alias("key")).where("key is not null")
+        signed = save(self.docs.where("text is not null").select("node", "text").mapInArrow(_sign, "node binary, size long, bands array<long>, sketch array<long>"), "signed")
         # A bucket matters if it has two different nodes; pre-aggregated before the shuffle.
-        stars = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
-        buckets = save(entries.join(stars, "key").select("key", "node", "lo").distinct(), "buckets")
+        entries = signed.select("node", F.explode("bands").alias("key"))
+        shared = entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+        buckets = save(entries.join(shared, "key").select("key", "node").distinct(), "buckets")
+        if buckets.isEmpty():
+            return members, self.spark.createDataFrame([], "node binary, comp binary")
+        full = buckets.join(buckets.groupBy("key").agg(F.count("*").alias("n")), "key")
+        near = full.groupBy("node").agg(F.sum("n").alias("near"), F.sort_array(F.collect_list("key")).alias("keys"))  # at most BANDS keys
+        info = signed.groupBy("node").agg(F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+        nodes = save(near.join(info, "node").select("node", "near", "keys", "size", *(F.col("sketch")[i].alias(c) for i, c in enumerate(_LONGS))), "nodes")
         # Of equal texts, the row with the least id gives the text; equal texts meet by (node, id), which spreads them.
         spare = F.coalesce("doc_id", F.lit(-(2**63))).alias("id")
         least = members.select("node", spare).groupBy("node").agg(F.min("id").alias("id"))
-        needed = least.join(buckets.select("node").distinct(), "node")
+        needed = least.join(nodes.select("node"), "node")
         texts = self.docs.select("node", spare, "text").join(needed.hint("shuffle_hash"), ["node", "id"]).select("node", "text")
         texts = save(texts.dropDuplicates(["node"]), "texts")
 
-        first = self._verified(texts, buckets.select(F.col("lo").alias("a"), F.col("node").alias("b")), "star-lo")
-        good = first.where(F.col("sim") >= SIMILARITY)
+        own = buckets.join(nodes.drop("keys"), "node")
+        pivots = own.groupBy("key").agg(F.max(F.struct("near", "node", "size", *_LONGS)).alias("p")).select("key", "p.*")
+        stars = own.alias("x").join(pivots.alias("y"), F.expr("x.key = y.key and x.node <> y.node") & _may_link("x", "y"))
+        good = self._linked(texts, stars.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")), "stars")
         comps = C.components(self.scratch, good, "cc-a")
-        # Of the nodes that share a bucket with another class: what one alone has of all their shingles lies outside any
-        # overlap, and with more than its part of that it links to none.
-        open_ = self._open(buckets, comps, "open-a")
-        nodes = open_.select("node").distinct()
-        counts = texts.join(nodes, "node").mapInArrow(_weights, "node binary, shingle long, n int")
-        own = counts.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"), F.sum("n").alias("n"))
-        alone = own.where("node = other").groupBy("node").agg(F.sum("n").alias("alone"))
-        size = texts.join(nodes, "node").mapInArrow(_sizes, "node binary, size long")
-        bound = save(size.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared")).where(F.col("shared") >= SIMILARITY * F.col("size")), "bound")
-        # They meet the bucket's member that has least of its own: of variants of one text, the one nearest to all.
-        able = open_.select("key", "node", "comp").join(bound, "node")
-        hubs = able.groupBy("key").agg(F.max(F.struct(F.col("shared") / F.col("size"), "node", "comp")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp"))
-        second = self._verified(texts, able.join(hubs, "key").where("hub_comp <> comp").select(F.col("hub").alias("a"), F.col("node").alias("b")), "star-hub")
-        good = save(good.unionByName(second.where(F.col("sim") >= SIMILARITY)), "good")
-        comps = C.components(self.scratch, good, "cc-b")
-        sig = signed.select("node", "sig").join(bound, "node").groupBy("node", "size", "shared").agg(F.first("sig").alias("sig"))
-        left = self._open(open_.select("key", "node").join(bound.select("node"), "node"), comps, "open-b").join(sig, "node")
-        most = left.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"))
-        left = save(left.join(most.select("key", F.col("top.comp").alias("main")), "key"), "left")
-        # A pair is looked at in the least bucket that both are in; pairs inside a bucket's largest class aren't.
-        left = left.join(left.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys")), "node")  # at most BANDS keys
-        few, other = left.where("comp <> main").alias("x"), left.alias("y")
-        least = "least(x.shared, y.shared)"
-        rest = few.join(other, F.expr(f"x.key = y.key and x.comp <> y.comp and (y.comp = y.main or x.node < y.node) and {1 + SIMILARITY} * {least} >= {SIMILARITY} * (x.size + y.size)") & (_agreeing("x.sig", "y.sig") >= AGREE) & F.expr("array_min(array_intersect(x.keys, y.keys)) = x.key"))
-        third = self._verified(texts, rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), "rest")
-        good = save(good.unionByName(third.where(F.col("sim") >= SIMILARITY)), "links")
-        return members, good, C.components(self.scratch, good, "cc-c")
-
-    def _open(self, buckets: DataFrame, comps: DataFrame, name: str) -> DataFrame:
-        """(key, node, comp): the entries of buckets that hold more than one class."""
-        own = buckets.select("key", "node").join(comps.withColumnRenamed("comp", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("comp"))
-        many = own.groupBy("key").agg(F.min("comp").alias("cl"), F.max("comp").alias("ch")).where("cl <> ch")
-        return self.scratch.save(own.join(many.select("key"), "key"), name)
-
-    def _verified(self, texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left = save(self._left(buckets, nodes, comps), "left")
+        for turn in ("nearest", "rest"):
+            if left.isEmpty():
+                break
+            some = left
+            if turn == "nearest":  # of each node one, so that what many pairs would link is linked by few
+                both = left.select("a", "b", "d").unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+                some = both.groupBy("a").agg(F.min(F.struct("d", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+            found = self._linked(texts, some, turn)
+            good = good.unionByName(found)
+            comps = C.components(self.scratch, comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found), f"cc-{turn}")
+            if turn == "nearest":
+                of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+                left = left.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(comp_a, a) <> coalesce(comp_b, b)").select("a", "b", "d")
+                left = save(left, "left-2")
+        return members, comps
+
+    def _left(self, buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+        """(a, b, d): pairs of different classes that share a bucket, each in the least that both are in and may link; d: bits in which they differ."""
+        own = buckets.join(comps.withColumnRenamed("comp", "c"), "node", "left").select("key", "node", F.coalesce("c", "node").alias("comp"))
+        # Pairs inside a bucket's largest class aren't listed, so only the others look for partners.
+        most = own.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("classes"))
+        open_ = own.join(most.where("classes > 1").select("key", F.col("top.comp").alias("main")), "key").join(nodes, "node")
+        open_ = self.scratch.save(open_.drop("near"), "open")
+        few, other = open_.where("comp <> main").alias("x"), open_.alias("y")
+        pairs = few.join(other, F.expr("x.key = y.key and x.comp <> y.comp and (y.comp = y.main or x.node < y.node)") & _may_link("x", "y") & F.expr("array_min(array_intersect(x.keys, y.keys)) = x.key"))
+        return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.expr(_differ("x", "y")).alias("d"))
+
+    def _linked(self, texts: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """Of pairs(a, b), those whose bags overlap enough."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return self.scratch.save(full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, sim double"), name)
+        found = full.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a binary, b binary, sim double")
+        return self.scratch.save(found.where(F.col("sim") >= SIMILARITY).select("a", "b"), name)
+
+    def grouped(self) -> DataFrame:
+        """doc_id, node and group (a node of the class, null for a null text) for each row."""
+        members, comps = self.links()
+        return members.join(comps, "node", "left").select("doc_id", "node", F.coalesce("comp", "node").alias("group"))
 
     def classes(self) -> DataFrame:
-        members, _, comps = self.links()
-        full = members.join(comps, "node", "left").withColumn("group", F.coalesce("comp", "node"))
-        full = full.where("node is not null")
-        named = full.groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+        full = self.grouped()
+        named = full.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
         # Null texts are alone.
-        alone = members.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-        return full.join(named, "group").select("doc_id", "class_id", "class_size").unionByName(alone)
+        alone = full.where("group is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+        return full.where("group is not null").join(named, "group").select("doc_id", "class_id", "class_size").unionByName(alone)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,15 +267,20 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is their class's; of rows that repeat a doc_id in full or in part, the least row stays.
+    """One row of docs for each class, all its columns as they were: that with the least doc_id, of those the one with the least digest of its text.
 
-    Rows without text or id stay as they are, since nothing says that they are copies.
+    A class's ids count before nulls. Rows equal in doc_id and text are copies, of which the one whose
+    JSON is least stays; rows that share a doc_id but not a class are kept each. Null texts stay.
     """
-    classes = NearDuplicates(spark, docs).classes()
-    rest = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("class_id")).alias("keep")).where("keep and doc_id is not null")
-    nulls = docs.where("text is null or doc_id is null")
-    full = docs.where("text is not null and doc_id is not null")
-    once = full.join(rest.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    often = full.join(rest.where("n > 1").select("doc_id"), "doc_id", "left_semi")
-    least = often.select("doc_id", F.struct(*docs.columns).alias("row")).groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
-    return once.unionByName(least).unionByName(nulls)
+    full = NearDuplicates(spark, docs).grouped().where("node is not null")
+    best = full.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("m"))
+    copies = full.groupBy("doc_id", "node").agg(F.count("*").alias("n"))
+    id_, node, n = (C.spare(docs.columns, c) for c in ("id", "node", "n"))
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(-(2**63)))
+    kept = best.select(key("m.doc_id").alias(id_), F.col("m.node").alias(node)).join(copies.select(key("doc_id").alias(id_), F.col("node").alias(node), F.col("n").alias(n)), [id_, node])
+    rows = docs.withColumns({id_: key("doc_id"), node: F.unhex(F.md5(F.col("text").cast("string")))})
+    found = rows.where(F.col(node).isNotNull()).join(kept, [id_, node])
+    once = found.where(F.col(n) == 1).select(*docs.columns)
+    row = F.struct(*docs.columns)
+    often = found.where(F.col(n) > 1).groupBy(id_, node).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return once.unionByName(often).unionByName(docs.where("text is null"))
