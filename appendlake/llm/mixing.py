@@ -5,13 +5,16 @@ repetition rate is share * total / size. A document is repeated a Poisson number
 of times with that mean, found by inverting the distribution at a uniform number
 hashed from (seed, doc_id), so that a recomputed task makes the same copies. The
 documents are exploded by their counts and put in a global order by a hash of
-(seed, doc_id, copy), by ranges of which the rows are dealt.
+(seed, doc_id, copy). That hash is uniform, so its ranges, by which the rows are dealt,
+are known beforehand: nothing is run twice to sample them.
 
 Cases: null sources are one source of their own. A source without a target
 share, or with a rate of 0, gives no copies. A null text has size 0 and is repeated
-like any other; if all texts of a source are empty, its rate is 0. A null doc_id
-hashes as the text 'null'. Rows that repeat a doc_id draw the same count. Rates of
-any size are whole: sums of Poisson numbers of mean STEP at most.
+like any other, as are very long ones, whole; if all texts of a source are empty, its
+rate is 0. A null doc_id hashes as the text 'null'. Rows that repeat a doc_id draw the
+same count, and their copies tie in the order. Rates of any size are whole: sums of
+Poisson numbers of mean STEP at most. An empty table gives an empty one. Other columns
+are kept; where copy or shuffle_key are among them, the new columns get a further _.
 """
 
 from __future__ import annotations
@@ -49,24 +52,29 @@ def _count(rate: str, seed: int) -> F.Column:
     parts = f"cast(greatest(1, ceil({rate} / {STEP}D)) as int)"
     mean = f"({rate} / {parts})"
     draw = unit(f"'{seed}'", "coalesce(cast(doc_id as string), 'null')", "cast(i as string)")
-    # acc: probability of k, cumulative probability, k so far; the loop is over a constant number of terms.
+    # acc: the draw, made once; mean; probability of k, cumulative probability, k so far. The loop is over a constant number of terms.
     one = (
-        f"aggregate(sequence(1, {TERMS}), named_struct('p', exp(-{mean}), 'c', exp(-{mean}), 'n', 0), "
-        f"(acc, k) -> named_struct('p', acc.p * {mean} / k, 'c', acc.c + acc.p * {mean} / k, 'n', acc.n + if(acc.c <= {draw}, 1, 0)), acc -> acc.n)"
+        f"aggregate(sequence(1, {TERMS}), named_struct('u', {draw}, 'm', {mean}, 'p', exp(-{mean}), 'c', exp(-{mean}), 'n', 0), "
+        f"(acc, k) -> if(acc.c > acc.u, acc, named_struct('u', acc.u, 'm', acc.m, 'p', acc.p * acc.m / k, 'c', acc.c + acc.p * acc.m / k, 'n', acc.n + 1)), acc -> acc.n)"
     )
     return F.expr(f"aggregate(sequence(1, {parts}), 0, (a, i) -> a + {one})")
 
 
 def replicate(docs: DataFrame, weights: DataFrame | None = None, seed: int = SEED) -> DataFrame:
     """docs' columns, copy (1 to the count) and shuffle_key, in the order of shuffle_key."""
-    rate = rates(docs, weights).withColumnsRenamed({"source": "__source", "rate": "__rate"})
+    spark, taken = docs.sparkSession, docs.columns
+    source, rate_, n = (C.spare(taken, c) for c in ("source", "rate", "n"))
+    copy, order = (c if c not in map(str.lower, taken) else C.spare(taken, c) for c in ("copy", "shuffle_key"))
+    rate = C.Scratch(spark, "mixing").save(rates(docs, weights).select(F.col("source").alias(source), F.col("rate").alias(rate_)), "rates")
     # One source may hold a third of all rows; the rates are joined by broadcast where they are few, else Spark splits the skewed side.
-    few = rate.limit(C.FEW + 1).count() <= C.FEW
-    joined = docs.join(F.broadcast(rate) if few else rate, docs["source"].eqNullSafe(rate["__source"])).where("__rate > 0")
-    counted = joined.withColumn("__n", _count("__rate", seed)).where("__n > 0").drop("__source", "__rate")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
-    key = F.expr(f"md5(concat_ws('/', '{seed + 1}', coalesce(cast(doc_id as string), 'null'), cast(copy as string)))")
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    few = rate.count() <= C.FEW
+    joined = docs.join(F.broadcast(rate) if few else rate, docs["source"].eqNullSafe(rate[source])).where(F.col(rate_) > 0)
+    counted = joined.withColumn(n, _count(f"`{rate_}`", seed)).where(F.col(n) > 0).drop(source, rate_)
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
+    copies = copies.withColumn(order, F.expr(f"md5(concat_ws('/', '{seed + 1}', coalesce(cast(doc_id as string), 'null'), cast(`{copy}` as string)))"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * parts / 2**32
+    return copies.repartitionById(parts, F.floor(place).cast("int")).sortWithinPartitions(order)
 
 
 def op7_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
