@@ -95,6 +95,46 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sorted(((r.doc_id, r.class_id) for r in got), key=str) == brute_classes(rows)
 
 
+def test_near_duplicates_of_two_thousand_variants(spark):
+    """A group of which most pairs are near the similarity: classes are those of all pairs."""
+    import random
+
+    rnd, base, rows = random.Random(2), [f"b{i}" for i in range(80)], []
+    for i in range(2000):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 2, 3, 4])):
+            w[rnd.randrange(80)] = f"e{rnd.randrange(10_000)}"
+        rows.append((i, " ".join(w)))
+    got = dict((r.doc_id, r.class_id) for r in minhash_dedup.NearDuplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).classes().collect())
+    # All pairs at once: the bags are sets here, and their overlaps a product of incidence vectors.
+    import numpy as np
+
+    names = {}
+    at = [[names.setdefault(tuple(w[j : j + 5]), len(names)) for j in range(76)] for w in (t.split() for _, t in rows)]
+    x = np.zeros((2000, len(names)), np.float32)
+    for i, a in enumerate(at):
+        x[i, a] = 1
+    both = x @ x.T
+    linked, label = both >= 0.8 * (152 - both) - 1e-3, np.arange(2000)
+    while True:
+        new = np.array([label[linked[i]].min() for i in range(2000)])
+        if (new == label).all():
+            break
+        label = new
+    assert [got[i] for i in range(2000)] == label.tolist()
+
+
+def test_keep_one_goes_by_text(spark):
+    """Rows that share an id but not a text, rows without one, and copies under several ids: each different text stays once."""
+    far = " ".join(f"z{i}" for i in range(70))
+    other = " ".join(f"y{i}" for i in range(70))
+    rows = [(5, PASSAGE, {"a": 1}), (5, far, None), (3, PASSAGE, None), (None, other, None), (None, other, {"b": 2}), (None, far + " more", None), (7, None, None), (7, None, None), (8, "x", {"q": 1}), (8, "x", {"p": 1})]
+    df = spark.createDataFrame(rows, "doc_id int, text string, node map<string,int>")
+    kept = minhash_dedup.keep_one(spark, df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text, r.node) for r in kept.collect()), key=str) == sorted([(3, PASSAGE, None), (5, far, None), (None, other, {"b": 2}), (7, None, None), (7, None, None), (8, "x", {"p": 1})], key=str)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     got = C.components(C.Scratch(spark, "t"), spark.createDataFrame(chain, "a long, b long"), "cc").collect()
@@ -152,6 +192,32 @@ def test_leaks(spark, docs, odd):
     assert decontaminate.drop_leaks(spark, empty(spark, odd), b).count() == 0
 
 
+def test_leaks_go_by_text(spark):
+    item = " ".join(PASSAGE.split()[5:45])
+    rows = [(None, PASSAGE), (None, "clean words here"), (None, None), (5, PASSAGE), (5, "other clean words"), (6, "more"), (5, PASSAGE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = decontaminate.drop_leaks(spark, df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, "clean words here"), (None, None), (5, "other clean words"), (6, "more")], key=str)
+    assert decontaminate.leaks(spark, df, df.selectExpr("doc_id as item_id", "text").limit(0)).count() == 0
+
+
+def test_reworded_leaks(spark, docs):
+    """Items of 10 to 60 words with every 8th word changed, each put into a document: most are found."""
+    import random
+
+    rnd, n = random.Random(6), 300
+    texts = [r.text.split() for r in docs.where("n_chars > 600").orderBy("doc_id").collect()]
+    vocabulary = [w for t in texts for w in t]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(10, 60)))) for i in range(n)]
+    edit = lambda item: " ".join(w if j % 8 != 3 else f"new{j}" for j, w in enumerate(item.split()))
+    hosts = [(i, " ".join([*texts[i % len(texts)][:60], edit(item), *texts[i % len(texts)][60:120]])) for i, item in items]
+    got = decontaminate.leaks(spark, spark.createDataFrame(hosts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {r.doc_id for r in got.where("doc_id = item_id").select("doc_id").collect()}
+    last = lambda item: decontaminate._folded(item)
+    want = {i for (i, item), (_, host) in zip(items, hosts, strict=True) if decontaminate._common_share(last(item), last(host)) >= decontaminate.COMMON}
+    assert len(found & want) >= 0.9 * len(want) and len(want) > 0.9 * n
+
+
 def test_paraphrased_leak(spark, docs):
     item = docs.where("n_chars > 600 and lang = 'en'").orderBy("doc_id").first().text.split()[:40]
     changed = [w if i % 9 else "reworded" for i, w in enumerate(item)]
@@ -176,7 +242,34 @@ def test_quality(spark, docs, labels, odd):
         assert kept.count() == odd.count() and kept.columns == odd.columns
         judged = quality_rules.judge(odd, quality_rules.fit(odd, bad)).collect()
         assert len(judged) == odd.count() and {r.doc_id for r in judged if r.kept} == {r.doc_id for r in judged if r.n_words == 70} == {None, 1, 2, 3}
+    # The verdict against walking each tree over the same statistics, and against the labels of the fold that isn't learnt from.
+    trees = quality_rules.fit(docs, labels)
+    by_id = {r.doc_id: r for r in rules}
+    import numpy as np
+    import pyarrow as pa
+
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        c = next(C.chunks(pa.array([r.text], pa.string())))
+        base, x = docstats.features(c)
+        total = trees.start
+        for t in range(len(trees.cut)):
+            at = 0
+            while at < 2**trees.depth - 1:
+                at = 2 * at + 1 + (x[0, trees.feature[t, at]] > trees.cut[t, at])
+            total += trees.value[t, at]
+        bad = base[0, 0] < 50 or 100 * base[0, 4] > 50 * base[0, 0]
+        assert by_id[r.doc_id].base_failed == bad and by_id[r.doc_id].kept == (not bad and 1 / (1 + np.exp(-total)) >= quality_rules.VERDICT)
+    known = [(r, by_id[r.doc_id].kept) for r in labels.collect() if held(r.doc_id) and not by_id[r.doc_id].base_failed]
+    assert sum(k == (r.quality == 1) for r, k in known) >= 0.8 * len(known)
+    assert quality_rules.judge(empty(spark, odd), trees).count() == 0
     model = quality_classifier.fit(docs, labels)
+    # Scores against the model's own formula, text by text.
+    scores = {r.doc_id: r.score for r in registry.QUERIES["op9_quality_classifier"](spark, SF).collect()}
+    for r in docs.orderBy("doc_id").limit(60).collect():
+        x = np.clip(docstats.features(next(C.chunks(pa.array([r.text], pa.string()))))[1][0], model.low, model.high)
+        raw = [*x, *(max(v - k, 0) for row in model.knots for v, k in zip(x, row, strict=True))]
+        worth = sum((v - m) / s * w for v, m, s, w in zip(raw, model.mean, model.std, model.w, strict=True))
+        assert scores[r.doc_id] == pytest.approx(1 / (1 + np.exp(-(3 * (worth - model.cut) / model.scale + np.log(3 / 7)))), abs=1e-9)
     assert quality_classifier.keep_good(spark, empty(spark, odd), labels).count() == 0
     assert quality_classifier.scored(odd.select("doc_id", "text"), model, "doc_id long", ["doc_id"]).count() == odd.count()
 
@@ -190,6 +283,27 @@ def test_labels_repeat(spark, docs):
 def test_languages(spark, docs, odd):
     got = registry.QUERIES["op5_language_id"](spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in got) >= 0.95 * len(got)
+    # Each prediction against the two steps done one text at a time.
+    import pyarrow as pa
+
+    model = language_id.fit(docs)
+    by_id = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    for r in docs.orderBy("doc_id").limit(40).collect():
+        if by_id[r.doc_id] == "und":
+            continue
+        x = language_id.features(next(C.chunks(pa.array([r.text]), folded=True)))[0]
+        value = lambda w: float(x @ w[:-1] + w[-1])  # noqa: B023, E731
+        family = max(range(len(model.families)), key=lambda g: value(model.family[g]))
+        votes = Counter({i: 0 for i in model.members[family]})
+        for (a, b), w in model.pairs.items():
+            if a in votes:
+                votes[a if value(w) > 0 else b] += 1
+        best = max(votes.values())
+        assert by_id[r.doc_id] in {model.langs[i] for i, n in votes.items() if n == best}
+    assert language_id.identify(empty(spark, odd), model).count() == 0 and language_id.fit(empty(spark, odd)).langs == []
+    many = spark.range(12_000).selectExpr("id as doc_id", "concat('word number ', id) as text", "if(id % 100 < 99, 'en', 'de') as lang")
+    plan = language_id.fit(many)
+    assert plan.langs == ["de", "en"]
     model = language_id.fit(odd)
     rows = language_id.identify(odd, model).collect()
     assert len(rows) == odd.count()
@@ -224,6 +338,18 @@ def test_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_licence_spellings_may_follow_each_other(spark):
+    texts = ["licence licence sub license\nsub-licence", "license license sublicense\nsublicense", "licence, Licences (owner) owner", "license licenses holder holder", "whilst per-cent\npercent x"]
+    got = [r.digest for r in license_scan.scan(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got[0] == hashlib.sha256(b"license license sublicense sublicense").hexdigest() and got[2] == got[3] and got[4] == hashlib.sha256(b"while per cent per cent x").hexdigest()
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "a", f"t {i}", 77, "k") for i in range(50)], "doc_id long, source string, text string, copy int, SHUFFLE_KEY string")
+    out = mixing.replicate(df)
+    assert out.columns == [*df.columns, "copy_", "shuffle_key_"] and {r.copy for r in out.collect()} == {77}
+
+
 def test_mixing(spark, odd):
     weights = spark.createDataFrame([("a", 1.0), ("a", 1.0), (None, 1.0), ("c", 0.0), ("new", 5.0)], "source string, weight double")
     rate = {r.source: r.rate for r in mixing.rates(odd, weights).collect()}
@@ -280,6 +406,11 @@ def test_archives(spark):
             again = len(raw) >= 1000 and p != top
             want.append((p, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", top if again else None))
         assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+    for tail in range(5):  # a file of its own each
+        s = C.Scratch(spark, "t")
+        one = spark.createDataFrame([(1, "u", "<p>hi</p>" + "\r\n" * tail)], "page_id long, url string, html string")
+        warc.write_archives(spark, one, f"{s.root}/a")
+        assert [r.payload_bytes for r in warc.read_archives(spark, f"{s.root}/a").collect()] == [9 + 2 * tail]
     s = C.Scratch(spark, "t")
     warc.write_archives(spark, pages.limit(0), f"{s.root}/a")
     assert warc.index(s, warc.read_archives(spark, f"{s.root}/a")).count() == 0
