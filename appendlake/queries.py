@@ -2,58 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import api_queries
 from . import types as L
 from .context import Context, ContextBuilder
 from .operators.builder import checked, null_audit
 from .operators.commit import WriterOptions
 from .operators.dedupe import greedy_unique
 from .operators.scratch import Scratch
-from .plans.partitioning import DictionaryPartition, MonoPartition, Partition, RowLenPartition, TimePartition
+from .plans.partitioning import DictionaryPartition, MonoPartition, RowLenPartition, TimePartition
 from .schema import Schema
 from .streaming import TableSink, first_within_watermark
 from .table import Table
+from .tables import CUSTOMER, EMBEDDINGS, EVENTS, FIXTURES, LINEITEM, NATION, ORDERS, PART, SUPPLIER, new_table, source, stored
 from .transform import Transform
 from .types import TypeHints
 
-ORDERS = [
-    ("o_orderkey", L.Mono(4), TypeHints(sort="asc")), ("o_custkey", L.Int64), ("o_orderstatus", L.Keyword, TypeHints(avg_str_size=1)), ("o_totalprice", L.Float64),
-    ("o_orderdate", L.Datetime()), ("o_orderpriority", L.Keyword, TypeHints(avg_str_size=8)),
-]
-LINEITEM = [("l_orderkey", L.Mono(4)), ("l_linenumber", L.Int32), ("l_returnflag", L.Keyword), ("l_linestatus", L.Keyword), ("l_shipdate", L.Datetime())]
-EVENTS = [
-    ("event_id", L.Mono(4), TypeHints(sort="asc")), ("ts", L.Datetime()), ("user_id", L.Int64), ("event_type", L.Keyword, TypeHints(avg_str_size=8)), ("value", L.Float64),
-    ("props", L.String, TypeHints(avg_str_size=32, optional=True)),
-]
-CUSTOMER = [("c_custkey", L.Int64), ("c_name", L.String, TypeHints(avg_str_size=18)), ("c_nationkey", L.Int32), ("c_mktsegment", L.Keyword, TypeHints(avg_str_size=10))]
-PART = [("p_partkey", L.Int64, TypeHints(sort="asc")), ("p_name", L.String, TypeHints(avg_str_size=20))]
-SUPPLIER = [("s_suppkey", L.Int64, TypeHints(sort="asc")), ("s_name", L.String, TypeHints(avg_str_size=18)), ("s_nationkey", L.Int32)]
-NATION = [("n_nationkey", L.Int32, TypeHints(sort="asc")), ("n_name", L.String, TypeHints(avg_str_size=8)), ("n_regionkey", L.Int32)]
-EMBEDDINGS = [("vec_id", L.Int64, TypeHints(sort="asc")), ("embedding", L.List(L.Float32), TypeHints(avg_list_size=64)), ("label", L.Int32)]
-
-
-def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def new_table(spark: SparkSession, name: str, columns: Any, by: Partition | None = None, **more: Any) -> Table:
-    """A table of its own folder in the shared scratch folder."""
-    return Table(spark, name, f"{Scratch(spark).root}/{name}-{uuid.uuid4().hex[:8]}", columns, partitioning=by, **more)
-
-
-def stored(spark: SparkSession, sf_dir: str, name: str, columns: Any, by: Partition | None = None, df: DataFrame | None = None, **more: Any) -> Table:
-    """A driver table, committed and ready to scan."""
-    t = new_table(spark, name, columns, by, **more)
-    t.append(source(spark, sf_dir, name) if df is None else df)
-    return t
-
-
 def _orders(spark: SparkSession, sf_dir: str, **more: Any) -> Table:
     return stored(spark, sf_dir, "orders", ORDERS, MonoPartition("o_orderkey", 1000), **more)
 
@@ -230,14 +199,6 @@ def ohlc_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"))
 
 
-FIXTURES = {
-    "author": [("name", L.Keyword), ("pmid", L.Mono(8), TypeHints(sort="asc"))],
-    "block": [("number", L.Mono(4), TypeHints(sort="asc")), ("timestamp", L.Datetime("us", "UTC")), ("hash", L.Keyword, TypeHints(avg_str_size=64))],
-    "market": [("time", L.Datetime("ms", "UTC")), *((n, L.Float64) for n in ("open", "high", "low", "close"))],
-    "pubmed": [("pmid", L.Mono(8), TypeHints(sort="asc")), ("pub_date", L.Date), ("title", L.String, TypeHints(avg_str_size=128))],
-}
-
-
 def schema_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = {n: Schema(c) for n, c in FIXTURES.items()}
     return spark.createDataFrame([(n, s.avg_row_size, s.row_group_size) for n, s in made.items()], "name string, avg_row_size int, row_group_size int")
@@ -311,7 +272,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ordered_commits": ordered_commits, "empty_scan": empty_scan, "null_audit": null_audit_events, "csv_roundtrip": csv_roundtrip, "ipc_roundtrip": ipc_roundtrip,
     "nested_roundtrip": nested_roundtrip, "builder_frames": builder_frames, "transform_single": transform_single, "transform_partitioned": transform_partitioned, "ohlc_hour": ohlc_hour,
     "schema_sizes": schema_sizes, "join_inner": join_inner, "join_anti": join_anti, "join_asof": join_asof, "agg_rollup": agg_rollup, "window_rank": window_rank, "topk": topk,
-    "set_except": set_except, "stream_append": stream_append, "stream_unique": stream_unique,
+    "set_except": set_except, "stream_append": stream_append, "stream_unique": stream_unique, **api_queries.QUERIES,
 }
 
 ORACLE_SQL = {
@@ -355,4 +316,14 @@ ORACLE_SQL = {
     "set_except": "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey FROM lineitem",
     "stream_append": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_unique": "SELECT DISTINCT user_id FROM events",
+    "unique_greedy": """
+WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, user_id || '/' || event_type AS a, event_type || '/' || CAST(floor(value) AS BIGINT) AS b, row_number() OVER (ORDER BY event_id) AS i FROM events),
+g(i, event_id, a, b, kept, seen) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), false, CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT e.i, e.event_id, e.a, e.b, NOT list_contains(g.seen, 'a' || e.a) AND NOT list_contains(g.seen, 'b' || e.b),
+         CASE WHEN list_contains(g.seen, 'a' || e.a) OR list_contains(g.seen, 'b' || e.b) THEN g.seen ELSE list_concat(g.seen, ['a' || e.a, 'b' || e.b]) END
+  FROM g JOIN e ON e.i = g.i + 1)
+SELECT event_id, a, b FROM g WHERE kept""",
+    **api_queries.ORACLE_SQL,
 }

@@ -19,7 +19,7 @@ def _rows(frame):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = Q.QUERIES[name](spark, SF).toPandas()
     want = con.sql(Q.ORACLE_SQL[name]).df()
