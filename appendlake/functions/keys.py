@@ -16,10 +16,12 @@ def mono_bucket(name: str, width: int, decimal: bool = False) -> Column:
     return F.expr(f"cast(({c} - pmod({c}, {n})) div {n} as bigint)")
 
 
-def time_keys(name: str, parts: tuple[str, ...]) -> dict[str, Column]:
-    """year, month and day of a date or timestamp (in the session's zone)."""
-    made = {"year": F.year, "month": F.month, "day": F.dayofmonth}
-    return {p: made[p](F.col(_quoted(name))).cast("int") for p in parts}
+def time_keys(name: str, parts: tuple[str, ...], zone: str | None = None) -> dict[str, Column]:
+    """year, month and day of a date or zone-less timestamp, or of an instant in `zone`, whatever the session's zone is."""
+    made, c = {"year": F.year, "month": F.month, "day": F.dayofmonth}, F.col(_quoted(name))
+    if zone is not None:
+        c = F.expr(f"convert_timezone('UTC', '{zone}', timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(unix_micros({_quoted(name)}) as decimal(38, 0)) / 1000000))")
+    return {p: made[p](c).cast("int") for p in parts}
 
 
 def padded_number(c: Column, width: int | None, signed: bool) -> Column:

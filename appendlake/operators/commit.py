@@ -36,6 +36,10 @@ if TYPE_CHECKING:
 DEFAULT = "__HIVE_DEFAULT_PARTITION__"
 
 
+def _plain(path: str) -> str:
+    return path.replace("file:///", "/").replace("file:", "")
+
+
 @dataclass(frozen=True)
 class WriterOptions:
     """commit_threshold: staged rows that an ordered writer waits for; stage_threshold: rows of a builder's frame; start_frame_index: where an ordered writer begins."""
@@ -58,20 +62,6 @@ class StagedPart:
     index: int | None = None
 
 
-def plan_top_up(target: int, source: int, most: int) -> tuple[str, bool]:
-    """What becomes of `source` rows beside a part of `target` rows: the action, and whether another part is used."""
-    space = most - target
-    if target == 0 and source <= most:
-        return "move", False
-    if space == 0:
-        return "split", True
-    if 0 < source <= space:
-        return "merge", False
-    if space < 0:
-        return "split", True
-    return "fill", True
-
-
 def sort_columns(table: Table) -> list[Column]:
     """Order by the sort hints in schema order; nulls come first either way."""
     made = {"asc": lambda c: F.col(c).asc_nulls_first(), "desc": lambda c: F.col(c).desc_nulls_first()}
@@ -98,8 +88,8 @@ class TableWriter:
 
     # -- staging
 
-    def stage_frame(self, df: DataFrame, index: int | None = None) -> StagedPart:
-        """Stages a frame of the declared columns and commits what can be."""
+    def stage_frame(self, df: DataFrame, index: int | None = None, mark: tuple[str, str] | None = None) -> StagedPart:
+        """Stages a frame of the declared columns and commits what can be. mark: a file and its text, written with the commit or not at all."""
         number = self.commits
         self.commits += 1
         path = f"{self.staging}/frame-{number}"
@@ -107,7 +97,12 @@ class TableWriter:
         df.write.parquet(path)
         stored = self.spark.read.schema(self.table.struct).parquet(path)
         part = StagedPart(path, stored.count(), index)
-        self.stage_part(part)
+        if mark is not None and self.ordered:
+            raise ValueError("a mark goes with a commit of its own, which an ordered writer's frames don't have")
+        if mark is not None:
+            self.integrate([part], mark)
+        else:
+            self.stage_part(part)
         return part
 
     def stage_part(self, part: StagedPart) -> None:
@@ -135,9 +130,11 @@ class TableWriter:
 
     # -- integration
 
-    def integrate(self, parts: Iterable[StagedPart]) -> None:
+    def integrate(self, parts: Iterable[StagedPart], mark: tuple[str, str] | None = None) -> None:
         t, parts = self.table, [p for p in parts if p.rows]
         if not parts:
+            if mark:
+                self.files.create(*mark)
             return
         keys = list(t.key_types)
         frames = []
@@ -173,10 +170,10 @@ class TableWriter:
         numbered = ranked_rows.withColumn("__file", F.expr(f"__start + (__before + __id - __first) div {cap}L"))
         # One task for each file; equal (keys, file) come together.
         dealt = numbered.repartition(*keys, "__file").sortWithinPartitions(*(F.col(k).asc_nulls_first() for k in keys), "__file", "__id")
-        moves = self._write(dealt, keys, commit)
+        moves = self._write(dealt, keys, commit, tails)
         journal = f"{self.staging}/journal-{self.commits}.json"
-        self.files.create(journal, json.dumps(moves))
-        self._apply(moves)
+        self.files.create(journal, json.dumps({"moves": moves, "mark": mark}))
+        self._apply(moves, mark)
         self.files.remove(journal)
         for path in (commit, ranked, *(p.path for p in parts)):
             self.files.remove(path)
@@ -199,10 +196,14 @@ class TableWriter:
 
     def _tails(self, buckets: list) -> tuple[list[tuple], list[str]]:
         """(keys, first file number) of each bucket, and the last parts that have room."""
-        t, last = self.table, {}
-        for b in buckets:
-            found = [(t.part_index(e.name), e.path) for e in self.files.list(f"{t.path}/{self._folder(list(t.key_types), b)}".rstrip("/")) if t.part_index(e.name) is not None]
-            last[tuple(b)] = max(found, default=(-1, None))
+        t = self.table
+
+        def last_part(b: Any) -> tuple[int, str | None]:
+            there = self.files.children(f"{t.path}/{self._folder(list(t.key_types), b)}".rstrip("/"))
+            found = [(i, p) for p in there if (i := t.part_index(p.rpartition("/")[2])) is not None]
+            return max(found, default=(-1, None))
+
+        last = dict(zip(map(tuple, buckets), self.files.each(last_part, buckets), strict=True))  # the touched buckets' folders only
         lens = row_lens(self.spark, [p for _, p in last.values() if p], t.format, t.struct)
         firsts, tails = [], []
         for b, (i, path) in last.items():
@@ -222,13 +223,12 @@ class TableWriter:
         special = "".join(c for c in map(chr, range(32, 127)) if c not in "\"#%'*/:=?\\\x7f{[]^")
         return "/".join(f"{k}={DEFAULT if v is None or v == '' else quote(str(v), safe=special)}" for k, v in zip(keys, values, strict=True))
 
-    def _write(self, dealt: DataFrame, keys: list[str], commit: str) -> list[tuple[str, str, bool]]:
-        t = self.table
-        have = {e.path for e in t.files_entries()}
-        moves = []
+    def _write(self, dealt: DataFrame, keys: list[str], commit: str, tails: list[str]) -> list[tuple[str, str, bool]]:
+        """Writes the new files and gives their moves; what is there already under a new file's name is a tail that it tops up."""
+        t, moves = self.table, []
         if t.format == "ipc":
             folder = F.concat_ws("/", *(F.concat(F.lit(f"{k}="), F.when(F.col(k).cast("string").isNull() | (F.col(k).cast("string") == ""), DEFAULT).otherwise(F.col(k).cast("string"))) for k in keys), F.format_string("%05d", "__file"))
-            sink_files(dealt.select(*t.struct.fieldNames(), folder.alias("__file")), commit, "ipc")
+            sink_files(dealt.select(*t.struct.fieldNames(), folder.alias("__file")), commit, "ipc", compression=t.compression)
             for e in self.files.walk(commit):
                 inside = e.path.split(f"/{commit.rpartition('/')[2]}/", 1)[1]
                 bucket, _, name = inside.rpartition("/")
@@ -236,22 +236,22 @@ class TableWriter:
         else:
             options = parquet_options(t.schema, t.compression_level, t.compression) if t.format == "parquet" else {}
             sink_files(dealt.select(*t.struct.fieldNames(), *keys, "__file"), commit, t.format, partition_by=[*keys, "__file"], **options)
-            for e in self.files.walk_all(commit):
-                folders = e.path.split(f"/{commit.rpartition('/')[2]}/", 1)[1].split("/")[:-1]
+            for path in self.files.glob(f"{commit}/{'*/' * (len(keys) + 1)}[!._]*"):
+                folders = path.split(f"/{commit.rpartition('/')[2]}/", 1)[1].split("/")[:-1]
                 number = int(folders[-1].removeprefix("__file="))
-                moves.append((e.path, "/".join([t.path, *folders[:-1], t.part_file(number)])))
+                moves.append((path, "/".join([t.path, *folders[:-1], t.part_file(number)])))
         seen: set[str] = set()
         for _, dst in moves:
             if dst in seen:
                 raise RuntimeError(f"two parts for {dst}")
             seen.add(dst)
-        plain = {p.replace("file:///", "/").replace("file:", "") for p in have}
-        return [(src, dst, dst in have or dst.replace("file:", "") in plain) for src, dst in moves]
+        plain = {_plain(p) for p in tails}
+        return [(src, dst, _plain(dst) in plain) for src, dst in moves]
 
-    def _apply(self, moves: list[tuple[str, str, bool]]) -> None:
-        for src, dst, replace in moves:
-            if self.files.exists(src):  # else a replayed move that was done
-                self.files.move(src, dst, replace)
+    def _apply(self, moves: list[tuple[str, str, bool]], mark: tuple[str, str] | None = None) -> None:
+        self.files.move_all(moves)
+        if mark:
+            self.files.create(*mark)
 
     def recover(self) -> None:
         """Finishes journalled commits of writers that are gone, and removes what they staged only."""
@@ -260,7 +260,8 @@ class TableWriter:
                 continue
             for e in self.files.list(other.path):
                 if e.name.startswith("journal-"):
-                    self._apply([tuple(m) for m in json.loads(self.files.read(e.path))])
+                    done = json.loads(self.files.read(e.path))
+                    self._apply([tuple(m) for m in done["moves"]], done["mark"])
             self.files.remove(other.path)
         self.table.forget()
 

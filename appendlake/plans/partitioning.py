@@ -11,6 +11,7 @@ import datetime
 import warnings
 from dataclasses import asdict, dataclass
 from typing import Any, ClassVar
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import functions as F
@@ -112,7 +113,10 @@ _TIME_KINDS = {"year": ("year",), "month": ("month",), "day": ("day",), "year-mo
 
 @dataclass(frozen=True)
 class TimePartition(Partition):
-    """year, month and day keys of a date or datetime; month or day alone merge years."""
+    """year, month and day keys of a date or datetime; month or day alone merge years.
+
+    An instant's keys are those in its column's zone, of writers and of lookups alike, whatever the session's is.
+    """
 
     tag: ClassVar[str] = "time"
     kind: str = "year"
@@ -134,11 +138,21 @@ class TimePartition(Partition):
         return dict.fromkeys(self.parts, "int")
 
     def keys(self, schema: Schema, rows: int | None = None) -> dict[str, SparkColumn]:
-        return time_keys(self.column(schema).name, self.parts)
+        return time_keys(self.column(schema).name, self.parts, self.zone(schema))
+
+    def zone(self, schema: Schema) -> str | None:
+        """The zone of an instant's keys; None for dates and zone-less datetimes."""
+        kind = self.column(schema).type
+        return kind.tz if kind.tag == "datetime" else None
 
     def implied(self, schema: Schema, op: str, value: Any) -> SparkColumn | None:
         if not isinstance(value, datetime.date) or op == "prefix":
             return None
+        zone, aware = self.zone(schema), getattr(value, "tzinfo", None) is not None
+        if aware != (zone is not None):
+            return None  # what Spark makes of the two depends on the session's zone, so nothing follows for the keys
+        if aware:
+            value = value.astimezone(ZoneInfo(zone))
         if op == "=":
             out = None
             for p in self.parts:

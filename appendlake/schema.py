@@ -77,6 +77,9 @@ class Schema:
             return Schema(x["columns"], row_group_size=x.get("row_group_size"))
         return Schema(x)
 
+    def __len__(self) -> int:
+        return len(self.columns)
+
     def __getitem__(self, name: str) -> Column:
         for c in self.columns:
             if c.name == name:

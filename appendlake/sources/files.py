@@ -67,7 +67,7 @@ def sink_files(df: DataFrame, path: str, format: str | None = None, mode: str =
         ipc.register(df.sparkSession)
         if partition_by:
             raise ValueError("Arrow IPC files aren't partitioned by key here")
-        df.write.format("appendlake_ipc").mode("append").option("path", path).save()
+        df.write.format("appendlake_ipc").mode("append").option("path", path).option("compression", ipc.codec(options.get("compression")) or "").save()
         return
     writer = df.write.format(format).mode(mode).options(**options)
     if format == "csv":
@@ -86,7 +86,7 @@ def row_lens(spark: SparkSession, paths: list[str], format: str, schema: T.Struc
     if not paths:
         return {}
     if format == "ipc":
-        return {p: scan_files(spark, p, "ipc", schema).count() for p in paths}
+        return ipc.row_lens(spark, paths)
     found = scan_files(spark, paths, format, schema).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
     # Spark gives paths as URIs, in which what a folder's name escapes is escaped once more.
     plain = {_local(p): p for p in paths}

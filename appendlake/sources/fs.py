@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import SparkSession
 
+PARALLEL = 16  # listings and renames at a time
+
 
 @dataclass(frozen=True)
 class Entry:
@@ -20,11 +25,13 @@ class Entry:
 
 class Files:
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self._systems = spark, {}
 
     def _at(self, path: str):
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()), jpath
+        jpath, root = self.spark._jvm.org.apache.hadoop.fs.Path(path), path.split("://", 1)[0] + path.split("://", 1)[-1].split("/", 1)[0] if "://" in path else ""
+        if root not in self._systems:
+            self._systems[root] = jpath.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return self._systems[root], jpath
 
     def exists(self, path: str) -> bool:
         fs, p = self._at(path)
@@ -33,11 +40,57 @@ class Files:
     def list(self, path: str) -> list[Entry]:
         """Children, by name; none of a missing folder."""
         fs, p = self._at(path)
-        if not fs.exists(p):
-            return []
-        found = [Entry(s.getPath().toString(), s.getLen(), s.isDirectory()) for s in fs.listStatus(p)]
+        try:
+            statuses = fs.listStatus(p)
+        except Exception:
+            if not fs.exists(p):
+                return []
+            raise
+        found = [Entry(s.getPath().toString(), s.getLen(), s.isDirectory()) for s in statuses]
         return sorted(found, key=lambda e: e.path)
 
+    def _paths(self, statuses) -> list[str]:
+        """Paths of many files in one answer of the JVM."""
+        jvm = self.spark._jvm
+        text = jvm.scala.collection.immutable.ArraySeq.unsafeWrapArray(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(statuses)).mkString("\n")
+        return text.split("\n") if text else []
+
+    def children(self, path: str) -> list[str]:
+        """Paths of what lies in a folder; none of a missing one."""
+        fs, p = self._at(path)
+        try:
+            return self._paths(fs.listStatus(p))
+        except Exception:
+            if not fs.exists(p):
+                return []
+            raise
+
+    def glob(self, pattern: str) -> list[str]:
+        fs, p = self._at(pattern)
+        found = fs.globStatus(p)
+        return self._paths(found) if found is not None else []
+
+    def move_all(self, moves: list[tuple[str, str, bool]]) -> None:
+        """(source, target, whether the target is there and is replaced) each; sources that are gone were moved before."""
+        self.each(self.make, sorted({dst.rpartition("/")[0] for _, dst, _ in moves}))
+
+        def one(move: tuple[str, str, bool]) -> None:
+            (fs, a), (_, b) = self._at(move[0]), self._at(move[1])
+            if move[2]:
+                if not fs.exists(a):
+                    return
+                fs.delete(b, True)
+            try:
+                done = fs.rename(a, b)
+            except Exception:
+                if fs.exists(a):
+                    raise
+                return
+            if not done and fs.exists(a):
+                raise OSError(f"{move[0]} can't be moved to {move[1]}")
+
+        self.each(one, moves)
+
     def walk(self, path: str) -> list[Entry]:
         """Files below, without what lies in hidden folders or is hidden itself."""
         out = []
@@ -47,15 +100,15 @@ class Files:
             out += self.walk(e.path) if e.is_dir else [e]
         return out
 
-    def walk_all(self, path: str) -> list[Entry]:
-        """Data files below a folder that Spark wrote, folders whose names begin with _ or . included."""
-        out = []
+    def first(self, path: str, suffix: str) -> str | None:
+        """A file below whose name ends so, found without listing more folders than it takes."""
         for e in self.list(path):
-            if e.is_dir:
-                out += self.walk_all(e.path)
-            elif not e.name.startswith((".", "_")):
-                out.append(e)
-        return out
+            if e.name.startswith((".", "_")):
+                continue
+            found = self.first(e.path, suffix) if e.is_dir else e.path if e.name.endswith(suffix) else None
+            if found:
+                return found
+        return None
 
     def make(self, path: str) -> None:
         fs, p = self._at(path)
@@ -74,6 +127,11 @@ class Files:
         if not fs.rename(a, b):
             raise OSError(f"{src} can't be moved to {dst}")
 
+    def each(self, do: Callable[[Any], Any], items: Iterable[Any]) -> list[Any]:
+        """do(item) for all of them, as many at once as a name node likes; the first error is raised."""
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            return list(pool.map(do, items))
+
     def create(self, path: str, text: str, exclusive: bool = False) -> bool:
         """Writes a small file; with exclusive, False if it is there already."""
         fs, p = self._at(path)

@@ -46,6 +46,27 @@ def _files(paths: list[str]) -> list[str]:
     return out
 
 
+def codec(compression: str | None) -> str | None:
+    """lz4, zstd or None, the codecs of IPC files; 'uncompressed' is None, and so is a codec that they lack."""
+    return compression if compression in ("lz4", "zstd") else None
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for path in b.column("path").to_pylist():
+            fs, at = _open(path)
+            with fs.open_input_file(at) as f, pa.ipc.open_file(f) as reader:
+                rows.append(sum(reader.get_batch(i).num_rows for i in range(reader.num_record_batches)))
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(rows, pa.int64())], names=["path", "n"])
+
+
+def row_lens(spark: SparkSession, paths: list[str]) -> dict[str, int]:
+    """Rows of each file, in one job over the files."""
+    frame = spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 4 * spark.sparkContext.defaultParallelism))
+    return {r.path: r.n for r in frame.mapInArrow(_footers, "path string, n long").toLocalIterator()}
+
+
 def schema_of(spark: SparkSession, paths: list[str]) -> T.StructType:
     fs, at = _open(_files(paths)[0])
     with fs.open_input_file(at) as f:
@@ -90,8 +111,8 @@ class _Written(WriterCommitMessage):
 class IpcWriter(DataSourceArrowWriter):
     """With a column __file, rows go to that file below the path (rows of a file come together), else to a file for each task."""
 
-    def __init__(self, path: str):
-        self.path = path.rstrip("/")
+    def __init__(self, path: str, compression: str | None = None):
+        self.path, self.compression = path.rstrip("/"), compression
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         moves, sink, current = [], None, None
@@ -119,7 +140,7 @@ class IpcWriter(DataSourceArrowWriter):
                     fs.create_dir(folder, recursive=True)
                     temp = f"{folder}/.{base}.{uuid.uuid4().hex}.tmp"
                     out = fs.open_output_stream(temp)
-                    sink = (pa.ipc.new_file(out, rest.schema), out)
+                    sink = (pa.ipc.new_file(out, rest.schema, options=pa.ipc.IpcWriteOptions(compression=self.compression)), out)
                     moves.append((temp, final))
                 sink[0].write_batch(rest.slice(lo, hi - lo))
                 lo = hi
@@ -151,7 +172,7 @@ class IpcSource(DataSource):
         return IpcReader(schema, self.options["paths"].split("\n"), self.options.get("base", ""))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> IpcWriter:
-        return IpcWriter(self.options["path"])
+        return IpcWriter(self.options["path"], self.options.get("compression") or None)
 
 
 def register(spark: SparkSession) -> None:

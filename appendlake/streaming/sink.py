@@ -11,26 +11,25 @@ if TYPE_CHECKING:
 
 
 class TableSink:
-    """For writeStream.foreachBatch. The last batch id lies beside the table, so that a batch that comes again after a restart isn't committed twice.
+    """For writeStream.foreachBatch. Each batch is committed once, however often it comes again after restarts.
 
-    The id is written after the commit; a stop just between the two is the one case
-    that leaves a batch to be judged by the table's unique columns.
+    The last batch id lies beside the table and is part of the commit's journal: a stop
+    before the journal leaves neither rows nor id, one after it leaves both to the next
+    writer, which replays the journal before the id is looked at. break_lock: take over
+    the lock of a writer that was stopped (a stream has one sink at a time).
     """
 
-    def __init__(self, table: Table, name: str = "stream"):
-        self.table, self.mark = table, f"{table.path}/.staging/.{name}.batch"
+    def __init__(self, table: Table, name: str = "stream", break_lock: bool = False):
+        self.table, self.mark, self.break_lock = table, f"{table.path}/.staging/.{name}.batch", break_lock
 
     def last(self) -> int:
         files = self.table.files_api
         return int(files.read(self.mark)) if files.exists(self.mark) else -1
 
     def __call__(self, df: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.last():
-            return
-        if not df.isEmpty():
-            with self.table.writer() as w:
-                w.stage_frame(df)
-        self.table.files_api.create(self.mark, str(batch_id))
+        with self.table.writer(break_lock=self.break_lock) as w:
+            if batch_id > self.last():
+                w.stage_frame(df, mark=(self.mark, str(batch_id)))
 
 
 def first_within_watermark(df: DataFrame, column: str, time_column: str, delay: str) -> DataFrame:

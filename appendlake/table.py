@@ -94,7 +94,7 @@ class Table:
     @property
     def exists(self) -> bool:
         """True if there are data files."""
-        return bool(self.files_entries())
+        return self.files_api.first(self.path, "" if self.remote else f".{self.suffix}") is not None
 
     @property
     def disk_size(self) -> int:

@@ -6,7 +6,6 @@ from pyspark.sql import types as T
 
 from appendlake import queries as Q
 from appendlake import types as L
-from appendlake.operators.commit import plan_top_up
 from appendlake.operators.dedupe import Greedy, bloom_params
 from appendlake.schema import Column, Schema
 from appendlake.types import TypeHints
@@ -62,10 +61,6 @@ def test_bloom_params():
             bloom_params(*bad)
 
 
-@pytest.mark.parametrize(("target", "source", "want"), [(0, 10, ("move", False)), (10, 3, ("split", True)), (6, 4, ("merge", False)), (12, 1, ("split", True)), (6, 7, ("fill", True)), (0, 11, ("fill", True))])
-def test_top_up_plan(target, source, want):
-    assert plan_top_up(target, source, 10) == want
-
 
 def test_greedy_counts_accepted_rows_only():
     g = Greedy([0, 1])
