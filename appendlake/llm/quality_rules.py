@@ -7,8 +7,10 @@ one gives the side with more of it no higher value, and bounds pass down to both
 sides, so that the score never rises with such a feature.
 
 Cases: a null text has no words and fails the base rules, as an empty one does.
-Rows that repeat a doc_id are judged one by one. Without labels of both kinds
-the trees keep everything that passes the base rules.
+Very long texts count whole. Rows that repeat a doc_id are judged one by one; equal
+texts tie in everything. Without labels of both kinds the trees keep everything that
+passes the base rules. An empty table gives an empty one. Other columns, whatever
+their names, don't matter.
 """
 
 from __future__ import annotations
