@@ -4,6 +4,13 @@ Stages, each over all that the one before it kept: documents that the quality
 classifier rejects go; one document of each near-duplicate class stays; passages
 that an earlier document has are cut; documents that hold a benchmark item go;
 the rest is repeated to equal shares of its sources and shuffled.
+
+Cases: rows without text pass the first stage by the score of an empty text, and the
+next three as they are, since nothing says that they are copies or leaks. Rows without
+an id are known by their text. Rows that repeat id and text are copies, of which one
+stays; rows that share an id only are kept each. Very long texts are read whole by all
+stages. An empty table passes as an empty one. Further columns are kept by all stages,
+whatever their names.
 """
 
 from __future__ import annotations
