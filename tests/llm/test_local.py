@@ -296,3 +296,26 @@ def test_align_goes_on_over_edits():
             same = [i for i in range(n) if i != at]
             assert got[:4] == (20 + same[0], 21 + same[-1], 30 + same[0], 31 + same[-1])
             assert got[4] == pytest.approx(len(same) / (same[-1] - same[0] + 1))
+
+
+def test_alignment_of_merged_matches_equals_that_of_single_ones(monkeypatch):
+    rng = np.random.default_rng(5)
+    single = lambda a, b, xs, ys: [(i, j, U.SEED) for i, j in zip(xs.tolist(), ys.tolist(), strict=True)]
+    seen = 0
+    for vocabulary in (3, 8, 50, 5000) * 40:
+        a = rng.integers(0, vocabulary, 200).astype(np.uint32)
+        b = np.concatenate([rng.integers(0, vocabulary, 20).astype(np.uint32), np.delete(a, rng.integers(0, 200, 6))])
+        b[rng.integers(0, len(b), 8)] = rng.integers(0, vocabulary, 8)
+        at = {}
+        for j in range(len(b) - U.SEED + 1):
+            at.setdefault(b[j : j + U.SEED].tobytes(), j)
+        found = [(i, at[w]) for i in range(len(a) - U.SEED + 1) if (w := a[i : i + U.SEED].tobytes()) in at]
+        if not found:
+            continue
+        for xs, ys in U.chain(*np.array(found).T):
+            merged = U.align(a, b, xs, ys)
+            with monkeypatch.context() as m:
+                m.setattr(U, "_blocks", single)
+                assert U.align(a, b, xs, ys) == merged
+            seen += merged is not None
+    assert seen > 100
