@@ -11,6 +11,7 @@ import gc
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -49,6 +50,17 @@ def bound_batches(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH")]))
 
 
+@contextmanager
+def unmeasured(spark: SparkSession) -> Iterator[None]:
+    """For rows of a few numbers: batches are bounded by their rows alone, and Spark need not measure a batch with each row."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
 # --- scratch -----------------------------------------------------------------
 
 
