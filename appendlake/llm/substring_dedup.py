@@ -7,6 +7,9 @@
    windows across its lines that only its own earliest holder shares. A changed
    passage of such lines with no LONG equal words in a row can still be missed.
    Seeds are worked off in SLICES by their hash, which bounds the disk.
+   Where documents share a long seed, all windows of LONG words around it are
+   seeds in a second turn, so that none of LONG + LONG_SPAN - 1 or more equal
+   words in a row is lost, however their parts are spread over earlier documents.
 2. A seed's first occurrence, by the least (doc_id, position), is its source: a
    seed found in n documents makes n - 1 matches and no pairs. Minima are
    pre-aggregated, and Spark splits a hot seed in the joins.
@@ -15,7 +18,8 @@
    tree of maxima over source positions. (If the matches are ordered in both
    already, the best predecessor is the one before.)
 4. Chains are aligned on the words of both texts, between and around their
-   matches, and kept if MATCHED of the longer side's words agree in order. Around
+   matches, and kept if MATCHED of the longer side's words agree in order; if
+   fewer do, the chain is cut at its widest gap and each part aligned. Around
    them the alignment goes on over edits until its score is DROP under its best;
    where the words fetched end before that, more are fetched.
 5. Kept spans of a document that touch or overlap, whatever their sources, are
@@ -84,18 +88,23 @@ def winnow(s: np.ndarray, doc: np.ndarray, span: int = SPAN) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
+def _long(s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all windows of LONG words, of those of short windows that cover them, and which short windows they begin with."""
+    n = max(0, len(s) - (LONG - SEED))
+    whole = np.flatnonzero(doc[:n] == doc[len(s) - n :])  # the last of them must be of the same text
+    wide = np.zeros(len(whole), _U)
+    for t in (*range(0, LONG - SEED, SEED), LONG - SEED):
+        wide = C.mix64(wide + s[whole + t])
+    return wide, whole
+
+
 def seeds_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Seeds of texts of hashed words: hash, text, first word, and whether it is a long one."""
     s, doc, at = C.shingles(h, first, SEED)
     there = np.diff(first)[doc] >= SEED
     s, doc, at = s[there], doc[there], at[there]
     keep = winnow(s, doc)
-    # A long window's hash is made of those of short windows that cover it; the last of them must be of the same text.
-    n = max(0, len(s) - (LONG - SEED))
-    whole = np.flatnonzero(doc[:n] == doc[len(s) - n :])
-    wide = np.zeros(len(whole), _U)
-    for t in (*range(0, LONG - SEED, SEED), LONG - SEED):
-        wide = C.mix64(wide + s[whole + t])
+    wide, whole = _long(s, doc)
     held = winnow(wide, doc[whole], LONG_SPAN)
     wide, whole = wide[held], whole[held]
     is_long = np.repeat([0, 1], [len(keep), len(whole)])
@@ -117,6 +126,27 @@ def _seeds(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
+def _all_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All windows of LONG words that begin less than LONG_SPAN words from a position in `near`; x as in _seeds."""
+    for b in batches:
+        near = b.column("near")
+        for c in C.chunks(b.column("text")):
+            s, doc, at = C.shingles(c.hashes(), c.first, SEED)
+            there = np.diff(c.first)[doc] >= SEED
+            s, doc, at = s[there], doc[there], at[there]
+            wide, whole = _long(s, doc)
+            doc, at = doc[whole], at[whole]
+            own = near.slice(c.lo, c.hi - c.lo)
+            of = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
+            # One more where a neighbourhood begins and one less behind its end, both inside the text.
+            first, last, p = c.first[of], c.first[of + 1], c.first[of] + own.flatten().to_numpy()
+            edge = np.bincount(np.clip(p - LONG_SPAN + 1, first, last), minlength=c.first[-1] + 1) - np.bincount(np.clip(p + LONG_SPAN, first, last), minlength=c.first[-1] + 1)
+            mine = np.cumsum(edge)[at] > 0
+            wide, doc, at = wide[mine], doc[mine], at[mine]
+            x = (at - c.first[doc]) * 2 + 1
+            yield pa.RecordBatch.from_arrays([pa.array(wide.view(np.int64)), b.column("k").slice(c.lo, c.hi - c.lo).take(pa.array(doc)), pa.array(x.astype(np.int32))], names=["h", "k", "x"])
+
+
 def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Collinear chains of matches (x ascending), each as its (x, y)."""
     out = []
@@ -348,14 +378,20 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for k, dig, src, x0, x1, y0, y1, mine, theirs, xs, ys in zip(*g.values(), *lists, strict=True):
             p, q = np.frombuffer(mine, np.uint32), np.frombuffer(theirs, np.uint32)
-            got = align(p, q, xs - x0, ys - y0)
-            if not got:
-                continue
             goes_on = (x0 > 0, y0 > 0, len(p) == x1 - x0, len(q) == y1 - y0)
-            if any(met and more for met, more in zip(got[5], goes_on, strict=True)):
-                rows.append((k, dig, src, None, None, None, None, xs, ys))
-            elif got[4] >= MATCHED:
-                rows.append((k, dig, src, got[0] + x0, got[1] + x0, got[2] + y0, got[4], None, None))
+            left = [(xs, ys)]
+            while left:
+                xs, ys = left.pop()
+                got = align(p, q, xs - x0, ys - y0)
+                if not got:
+                    continue
+                if any(met and more for met, more in zip(got[5], goes_on, strict=True)):
+                    rows.append((k, dig, src, None, None, None, None, xs, ys))
+                elif got[4] >= MATCHED:
+                    rows.append((k, dig, src, got[0] + x0, got[1] + x0, got[2] + y0, got[4], None, None))
+                elif len(xs) > 1:
+                    cut = int(np.argmax(np.diff(xs) + np.diff(ys))) + 1
+                    left += [(px, py) for px, py in ((xs[:cut], ys[:cut]), (xs[cut:], ys[cut:])) if px[-1] - px[0] + SEED >= LEAST_CHAIN]
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["k", "dig", "src", "a", "b", "src_a", "matched", "xs", "ys"])
 
@@ -374,25 +410,36 @@ def spans(scratch: C.Scratch, docs: DataFrame, hold: bool = False) -> tuple[Data
     texts are dealt once, and what is done with the spans needs those with spans only.
     """
     save = scratch.save
-    parts = []
-    for i in range(SLICES):
-        seeds = save(docs.select(F.col("__k").alias("k"), "text").mapInArrow(_seeds(i), "h long, k long, x int"), f"seeds{i}")
+    parts, wide = [], []
+
+    def meet(seeds: DataFrame, name: str) -> DataFrame:
+        """Writes the matches of seeds, and gives all that documents share."""
+        seeds = save(seeds, f"seeds{name}")
         # Minima of plain numbers, which Spark aggregates by hash; the source's position comes from its own rows among those of shared seeds.
         first = seeds.groupBy("h").agg(F.min("k").alias("src"), F.max("k").alias("last")).where("src <> last").select("h", "src")
-        first = save(first, f"first{i}")
-        met = save(seeds.join(first, "h"), f"met{i}")
-        scratch.drop(f"seeds{i}")
-        scratch.drop(f"first{i}")
-        at = save(met.where("k = src").groupBy("h").agg(F.shiftright(F.min("x"), 1).alias("y")), f"at{i}")  # written: an aggregate under the join would keep Spark from splitting a hot seed
-        parts.append(save(met.where("k <> src").join(at.hint("shuffle_hash"), "h").select("k", "src", "x", "y"), f"matches{i}"))
+        first = save(first, f"first{name}")
+        met = save(seeds.join(first, "h"), f"met{name}")
+        scratch.drop(f"seeds{name}")
+        scratch.drop(f"first{name}")
+        at = save(met.where("k = src").groupBy("h").agg(F.shiftright(F.min("x"), 1).alias("y")), f"at{name}")  # written: an aggregate under the join would keep Spark from splitting a hot seed
+        parts.append(save(met.where("k <> src").join(at.hint("shuffle_hash"), "h").select("k", "src", "x", "y"), f"matches{name}"))
+        scratch.drop(f"at{name}")
+        return met
+
+    for i in range(SLICES):
+        met = meet(docs.select(F.col("__k").alias("k"), "text").mapInArrow(_seeds(i), "h long, k long, x int"), str(i))
+        wide.append(save(met.where("x & 1 = 1").select("k", F.shiftright("x", 1).alias("x")), f"wide{i}"))
         scratch.drop(f"met{i}")
-        scratch.drop(f"at{i}")
+    near = functools.reduce(DataFrame.unionByName, wide).groupBy(F.col("k").alias("__k")).agg(F.collect_list("x").alias("near"))
+    meet(docs.select("__k", "text").join(near.hint("shuffle_hash"), "__k").select(F.col("__k").alias("k"), "text", "near").mapInArrow(_all_long, "h long, k long, x int"), "all")
+    for name in ("metall", *(f"wide{i}" for i in range(SLICES))):
+        scratch.drop(name)
     matches = functools.reduce(DataFrame.unionByName, parts)
     ordered = matches.repartition("k").sortWithinPartitions("k")
     with C.unmeasured(scratch.spark):
         chains = save(ordered.mapInArrow(_chains, "k long, src long, xs array<int>, ys array<int>"), "chains")
-    for i in range(SLICES):
-        scratch.drop(f"matches{i}")
+    for name in (*range(SLICES), "all"):
+        scratch.drop(f"matches{name}")
     out, held, pad, turn = None, docs, PAD, 0
     while turn == 0 or not chains.isEmpty():
         chains = _around(chains, pad)

@@ -441,6 +441,33 @@ def test_substring_of_frequent_lines(spark):
     assert {k: found.get(k) for k in want} == want
 
 
+def test_substring_of_scattered_parts(spark):
+    """Passages of 50 words in two documents, all parts of which earlier documents have: each is found, and whole."""
+    import random
+
+    rnd, rows, want, n = random.Random(3), [], {}, 100_000
+    for t in range(20):
+        w = [f"t{t}w{i}" for i in range(50)]
+        short, wide = ([w[i : i + size] for i in range(0, 51 - size, 3)] for size in (14, 20))
+        rnd.shuffle(wide)
+        rows += [(t * 100 + i, " ".join([f"a{t}n{i}", *part, f"b{t}n{i}"])) for i, part in enumerate(short + wide)]
+        rows += [(n, " ".join([f"c{n}", *w, f"d{n}"])), (n + 1, " ".join([f"c{n + 1}", *w, f"d{n + 1}"]))]
+        want[n + 1] = (1, 51)
+        n += 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, _ = substring_dedup.spans(C.Scratch(spark, "t"), substring_dedup._keyed(df))
+    found = {r.k: (r.a, r.b) for r in substring_dedup.passages(got).collect()}
+    assert {k: found.get(k) for k in want} == want
+
+
+def test_substring_of_a_chain_with_a_gap(spark):
+    """Two passages of 60 words, 20 other words between them in one document and 60 in the other: one chain, of which the parts agree."""
+    w = [f"w{i}" for i in range(120)]
+    rows = [(1, " ".join([*w[:60], *(f"a{i}" for i in range(20)), *w[60:]])), (2, " ".join([*w[:60], *(f"b{i}" for i in range(60)), *w[60:]]))]
+    got, _ = substring_dedup.spans(C.Scratch(spark, "t"), substring_dedup._keyed(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted((r.k, r.a, r.b) for r in substring_dedup.passages(got).collect()) == [(2, 0, 60), (2, 120, 180)]
+
+
 def test_substring_of_edited_passages(spark):
     """Passages of 60 words with every 10th or every 7th word changed."""
     rows, n = [], 100
