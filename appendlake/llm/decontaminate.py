@@ -2,11 +2,13 @@
 
 1. Words (case and punctuation folded) are hashed; the features are those that
    the benchmark has. Their document frequencies are counted over all documents.
-2. Passages of WINDOW words, of the benchmark and of a bounded sample of the
-   documents, make a TF-IDF matrix; a randomised SVD of it with power steps,
-   each a distributed product A'(A X) summed by column, gives RANK directions. The
-   benchmark's rows weigh as much as the sample's together, else its rare words
-   would be lost.
+2. Passages of WINDOW words, of the benchmark and of all documents, make a TF-IDF
+   matrix A. One pass over the documents sums their part of A'A by pairs of
+   features, in whole numbers, so that the sum doesn't hang on how the table is
+   partitioned; it is written, and has as many rows as the block has pairs of
+   features at most. A randomised SVD with power steps, each a distributed product
+   (A'A) X, gives RANK directions. The benchmark's rows weigh as much as the
+   documents' together, else its rare words would be lost.
 3. Every window of every document meets every benchmark passage, in blocks, by
    cosine in the latent space and by the share of the window's own length that
    the passage explains.
@@ -45,7 +47,8 @@ from . import _common as C
 FEATURES = 1 << 20
 WINDOW, STRIDE = 32, 16
 RANK, EXTRA, POWER = 384, 16, 2
-SAMPLE_DOCS, SAMPLE_TASKS = 300, 4
+#: Units of a sum of products, pairs that a task holds, tasks that multiply.
+UNIT, HELD, TASKS = 1 << 30, 4_000_000, 4
 #: Words in a larger share of the documents than this aren't features, but for the rarer half of an item's.
 OFTEN = 0.1
 COSINE, EXPLAINED = 0.55, 0.25
@@ -100,11 +103,6 @@ def _features(h: np.ndarray) -> np.ndarray:
     return (h & _U(FEATURES - 1)).astype(np.int64)
 
 
-def _sums(vectors: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by their ascending position at, n positions."""
-    return _gathered(vectors, np.arange(len(at)), at, n)
-
-
 def _gathered(table: np.ndarray, rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Sums of table[rows] by ascending position: first the first row of every position, then the second, and so on."""
     out = np.zeros((n, table.shape[1]), table.dtype)
@@ -169,9 +167,65 @@ def _frequencies(docs: DataFrame, blocks: list[Benchmark]) -> tuple[int, np.ndar
     return int(out[columns]), df
 
 
-def directions(sample: DataFrame, b: Benchmark, idf: np.ndarray, seed: int = 5) -> np.ndarray:
-    """columns x RANK right singular vectors of the passages' TF-IDF matrix, by subspace iteration on A'A."""
-    column, columns, width = b.column, b.columns, min(RANK + EXTRA, b.columns)
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of whole numbers by key, ascending."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(key) else n
+
+
+def moments(docs: DataFrame, blocks: list[Benchmark], idfs: list[np.ndarray]) -> DataFrame:
+    """block, f, g (f <= g), n: A'A of the TF-IDF rows of length 1 of all documents' passages, in units of 1 / UNIT."""
+    known = [(b.column, b.columns, idf) for b, idf in zip(blocks, idfs, strict=True)]
+
+    def products(at: np.ndarray, window: np.ndarray, columns: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        there = at >= 0
+        cell, n = np.unique(window[there] * columns + at[there], return_counts=True)
+        w, f = cell // columns, cell % columns
+        value = n * idf[f]
+        value = value / np.sqrt(np.bincount(w, value**2))[w] if len(w) else value
+        keys, sums = [], []
+        for d in range(WINDOW):  # a passage's features follow each other
+            i = np.flatnonzero(w[: len(w) - d] == w[d:])
+            if not len(i):
+                break
+            keys.append(f[i] * columns + f[i + d])
+            sums.append(np.rint(value[i] * value[i + d] * UNIT).astype(np.int64))
+        return _summed(np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *sums]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in known]
+
+        def give(k: int) -> Iterator[pa.RecordBatch]:
+            key, n = _summed(*(np.concatenate(c) for c in zip(*held[k], strict=True)))
+            held[k], columns = [(key, n)], known[k][1]
+            if len(key) > HELD // 2:
+                held[k] = []
+                yield out(k, columns, key, n)
+
+        def out(k: int, columns: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k, np.int32)), pa.array((key // columns).astype(np.int32)), pa.array((key % columns).astype(np.int32)), pa.array(n)], names=["block", "f", "g", "n"])
+
+        for batch in batches:
+            for c in C.chunks(batch.column("text"), folded=True):
+                feature, size, doc = _features(c.hashes()), np.diff(c.first), c.docs_of_words()
+                before = np.concatenate([[0], np.cumsum(-(-size // WINDOW))])
+                window = before[doc] + (np.arange(len(doc)) - c.first[doc]) // WINDOW
+                for k, (column, columns, idf) in enumerate(known):
+                    held[k].append(products(column[feature], window, columns, idf))
+                    if sum(len(key) for key, _ in held[k]) > HELD:
+                        yield from give(k)
+        for k, (_, columns, _) in enumerate(known):
+            if held[k]:
+                yield out(k, columns, *_summed(*(np.concatenate(c) for c in zip(*held[k], strict=True))))
+
+    return docs.select("text").mapInArrow(run, "block int, f int, g int, n long").groupBy("block", "f", "g").agg(F.sum("n").alias("n"))
+
+
+def directions(gram: DataFrame, b: Benchmark, idf: np.ndarray, seed: int = 5) -> np.ndarray:
+    """columns x RANK right singular vectors of the passages' TF-IDF matrix, by subspace iteration on A'A; gram(f, g, n) is the documents' part."""
+    width = min(RANK + EXTRA, b.columns)
     own = []  # the benchmark's rows: columns and values
     for p in b.passages:
         at, n = np.unique(p, return_counts=True)
@@ -183,26 +237,25 @@ def directions(sample: DataFrame, b: Benchmark, idf: np.ndarray, seed: int = 5)
         x = x.astype(np.float32)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(x.shape, np.float32)
+            total = np.zeros(x.shape)
             for batch in batches:
-                for c in C.chunks(batch.column("text"), folded=True):
-                    at, blocks = column[_features(c.hashes())], Blocks(c)
-                    there = at >= 0
-                    w = blocks.of_word[there] // (WINDOW // STRIDE)
-                    n = len(blocks.doc) // (WINDOW // STRIDE) + 1
-                    value = idf[at[there]]
-                    ax = _sums(x[at[there]] * value[:, None], w, n) / np.maximum(np.bincount(w, value**2, n), 1e-9)[:, None]
-                    order = np.argsort(at[there])
-                    total += _sums((ax[w] * value[:, None])[order], at[there][order], columns)
+                f, g, n = (batch.column(i).to_numpy() for i in range(3))
+                apart = f != g
+                to, of, n = np.append(f, g[apart]), np.append(g, f[apart]), np.append(n, n[apart])
+                order = np.argsort(to, kind="stable")
+                for lo in range(0, len(order), 2048):
+                    part = order[lo : lo + 2048]
+                    first = np.flatnonzero(np.append(True, np.diff(to[part]) != 0))
+                    total[to[part][first]] += np.add.reduceat((n[part] / UNIT)[:, None] * x[of[part]], first)
             there = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(there), pa.FixedSizeListArray.from_arrays(pa.array(total[there].ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["f", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.FixedSizeListArray.from_arrays(pa.array(total[there].ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["f", "v"])
 
-        out, mine = np.zeros(x.shape, np.float32), np.zeros(x.shape, np.float32)
-        for part in sample.mapInArrow(run, "f long, v array<float>").toArrow().to_batches():  # at most SAMPLE_TASKS matrices
+        out, mine = np.zeros(x.shape), np.zeros(x.shape, np.float32)
+        for part in gram.coalesce(TASKS).mapInArrow(run, "f long, v array<double>").toArrow().to_batches():  # at most TASKS matrices
             out[part.column("f").to_numpy()] += part.column("v").flatten().to_numpy().reshape(-1, x.shape[1])
         for at, value in own:
             mine[at] += value[:, None] * (value @ x[at])
-        return mine + out * (np.linalg.norm(mine) / max(np.linalg.norm(out), 1e-12))
+        return mine + (out * (np.linalg.norm(mine) / max(np.linalg.norm(out), 1e-12))).astype(np.float32)
 
     for _ in range(POWER + 1):
         x = np.linalg.qr(product(x))[0]
@@ -303,7 +356,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str, str | None]]]
         yield block
 
 
-def build(docs: DataFrame, sample: DataFrame, items: list[list]) -> list[Index]:
+def build(scratch: C.Scratch, docs: DataFrame, items: list[list]) -> list[Index]:
     """The indexes of a group of blocks."""
     blocks = [Benchmark(x) for x in items]
     blocks = [b for b in blocks if b.columns]
@@ -313,7 +366,10 @@ def build(docs: DataFrame, sample: DataFrame, items: list[list]) -> list[Index]:
     for b in blocks:
         b.restrict(df, OFTEN * total)
     idfs = [np.log((total + 1) / (df[np.flatnonzero(b.column >= 0)] + 1)) + 0.1 for b in blocks]
-    return [Index(b, idf, directions(sample, b, idf)) for b, idf in zip(blocks, idfs, strict=True)]
+    gram = scratch.save(moments(docs, blocks, idfs), "moments")
+    made = [Index(b, idf, directions(gram.where(F.col("block") == i).select("f", "g", "n"), b, idf)) for i, (b, idf) in enumerate(zip(blocks, idfs, strict=True))]
+    scratch.drop("moments")
+    return made
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -327,11 +383,9 @@ def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scratch = C.Scratch(spark, "leaks")
     schema = "doc_id long, digest binary, item_id long, start_word int, end_word int, common double, answer double, cosine double"
-    ids = docs.select("doc_id").dropna().distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    sample = scratch.save(docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text").coalesce(SAMPLE_TASKS), "sample")
     found = spark.createDataFrame([], schema)
     for turn, items in enumerate(itertools.batched(_blocks(benchmark), GROUP)):
-        if not (made := build(docs, sample, list(items))):
+        if not (made := build(scratch, docs, list(items))):
             continue
         indexes = spark.sparkContext.broadcast(made)
 

@@ -482,6 +482,28 @@ def test_substring_of_edited_passages(spark):
     assert found <= set(range(n, 2 * n)) and len(found) >= 0.95 * n
 
 
+def test_directions_come_from_all_documents(spark, docs):
+    """A'A against a plain sum over all passages of 600 documents, and the same however they are partitioned."""
+    import numpy as np
+
+    many = docs.unionByName(docs).unionByName(docs).select("text")
+    block = decontaminate.Benchmark([(r.item_id, r.text, None) for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(6).collect()])
+    idf = np.linspace(1, 2, block.columns)
+    want = Counter()
+    for r in many.collect():
+        at = block.column[decontaminate._features(decontaminate._folded(r.text))]
+        for lo in range(0, len(at), decontaminate.WINDOW):
+            row = {f: n * idf[f] for f, n in Counter(x for x in at[lo : lo + decontaminate.WINDOW].tolist() if x >= 0).items()}
+            square = sum(v * v for v in row.values())
+            for f, v in row.items():
+                for g, u in row.items():
+                    if f <= g:
+                        want[f, g] += v * u / square
+    sums = [{(r.f, r.g): r.n for r in decontaminate.moments(many.repartition(n), [block], [idf]).collect()} for n in (1, 7)]
+    assert sums[0] == sums[1] and sums[0].keys() == want.keys()
+    assert all(sums[0][k] / decontaminate.UNIT == pytest.approx(v, abs=1e-5) for k, v in want.items())
+
+
 def test_leaks_of_many_short_items(spark, docs):
     """More short items than one block has directions for, each copied word for word into a document."""
     import random
