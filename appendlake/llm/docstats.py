@@ -1,4 +1,4 @@
-"""Statistics of whole texts, computed for a chunk of texts at once, and bounded labelled samples of them.
+"""Statistics of whole texts, computed for a chunk of texts at once, and those of labelled texts, all or a bounded sample.
 
 A null text has the statistics of an empty one. Words are runs without ASCII
 white space; lines are cut at newlines.
@@ -117,27 +117,47 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % 5 == 0
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(BASE, FEATURES, label) of at most `rows` labelled documents outside the held-out fold.
-
-    Of several labels of a doc_id the least counts, and of several texts the least statistics.
-    """
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y of the labels outside the held-out fold; of several labels of a doc_id the least."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().where(~held_out())
-    known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return known.groupBy("doc_id").agg(F.min("y").alias("y"))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _statistics(keep: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`keep` and x, BASE and FEATURES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in C.chunks(b.column("text")):
                 base, x = features(c)
                 both = np.concatenate([base.astype(float), x], axis=1)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(c.lo, len(both)), b.column("y").slice(c.lo, len(both)), pa.FixedSizeListArray.from_arrays(pa.array(both.ravel()), both.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(c.lo, len(both)) for k in keep), pa.FixedSizeListArray.from_arrays(pa.array(both.ravel()), both.shape[1]).cast(pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").mapInArrow(run, "doc_id long, y int, x array<double>")
+    return run
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(BASE, FEATURES, label) of at most `rows` labelled documents outside the held-out fold.
+
+    Of several labels of a doc_id the least counts, and of several texts the least statistics.
+    """
+    known = _known(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = _plain(docs).join(F.broadcast(known), "doc_id").mapInArrow(_statistics(["doc_id", "y"]), "doc_id long, y int, x array<double>")
     got = found.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(BASE) + len(FEATURES))
     return x[:, : len(BASE)].astype(np.int64), x[:, len(BASE) :], got["y"].to_numpy(int)
 
 
+def all_labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, y, x (BASE and FEATURES) of all labelled documents outside the held-out fold, chosen as in labelled(); statistics are joined, not texts."""
+    found = _plain(docs).where("doc_id is not null").where(~held_out()).mapInArrow(_statistics(["doc_id"]), "doc_id long, x array<double>")
+    return found.join(_known(labels, label), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+
+
 def score_texts(docs: DataFrame, give: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str, keep: list[str]) -> DataFrame:
     """Runs give(BASE, FEATURES) over all texts; the columns `keep` pass through."""
 

@@ -274,6 +274,24 @@ def test_quality(spark, docs, labels, odd):
     assert quality_classifier.scored(odd.select("doc_id", "text"), model, "doc_id long", ["doc_id"]).count() == odd.count()
 
 
+def test_quality_learns_from_all_labels(spark, tmp_path, monkeypatch):
+    """21,000 labelled documents, of which the 200 of a rare kind, told by digits alone, hash beyond the first 20,000: fitted sums are those of all rows in memory."""
+    import numpy as np
+
+    ids = [r.id for r in spark.range(26_000).where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").orderBy(F.xxhash64("id"), "id").collect()]
+    assert len(ids) > 20_200
+    rows = [(i, f"plain words of text {'and 12345 digits' if k >= len(ids) - 200 else 'and nothing else'} here {'word ' * (i % 7)}", int(k < len(ids) - 200)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    monkeypatch.setattr(C, "shared_dir", lambda _: str(tmp_path))
+    model = quality_classifier.fit(df, df)
+    assert model.trained
+    _, x, y = docstats.labelled(df, df, "quality", len(rows))
+    assert ((model.score(x) >= quality_classifier.CUT) == y).all() and len(y) == len(rows)
+    want = quality_classifier.BradleyTerry(x, y)
+    assert (model.low == want.low).all() and (model.knots == want.knots).all() and np.allclose(model.mean, want.mean)
+    assert np.allclose(want.knots, np.quantile(x, quality_classifier.HINGES, axis=0, method="lower"), rtol=1e-5)
+
+
 def test_labels_repeat(spark, docs):
     many = spark.createDataFrame([(r.doc_id, q) for r in docs.limit(5).collect() for q in (1, 0, None)], "doc_id long, quality int")
     _, _, y = docstats.labelled(docs.unionByName(docs), many, "quality")
