@@ -48,7 +48,7 @@ FEATURES = 1 << 20
 WINDOW, STRIDE = 32, 16
 RANK, EXTRA, POWER = 384, 16, 2
 #: Units of a sum of products, pairs that a task holds, tasks that multiply.
-UNIT, HELD, TASKS = 1 << 30, 4_000_000, 4
+UNIT, HELD, TASKS = 1 << 30, 4_000_000, 2
 #: Words in a larger share of the documents than this aren't features, but for the rarer half of an item's.
 OFTEN = 0.1
 COSINE, EXPLAINED = 0.55, 0.25
@@ -248,11 +248,11 @@ def directions(gram: DataFrame, b: Benchmark, idf: np.ndarray, seed: int = 5) ->
                     first = np.flatnonzero(np.append(True, np.diff(to[part]) != 0))
                     total[to[part][first]] += np.add.reduceat((n[part] / UNIT)[:, None] * x[of[part]], first)
             there = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(there), pa.FixedSizeListArray.from_arrays(pa.array(total[there].ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["f", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array([v.tobytes() for v in total[there].astype(np.float32)], pa.binary())], names=["f", "v"])
 
         out, mine = np.zeros(x.shape), np.zeros(x.shape, np.float32)
-        for part in gram.coalesce(TASKS).mapInArrow(run, "f long, v array<double>").toArrow().to_batches():  # at most TASKS matrices
-            out[part.column("f").to_numpy()] += part.column("v").flatten().to_numpy().reshape(-1, x.shape[1])
+        for part in gram.coalesce(TASKS).mapInArrow(run, "f long, v binary").toArrow().to_batches():  # at most TASKS matrices
+            out[part.column("f").to_numpy()] += np.frombuffer(b"".join(part.column("v").to_pylist()), np.float32).reshape(-1, x.shape[1])
         for at, value in own:
             mine[at] += value[:, None] * (value @ x[at])
         return mine + (out * (np.linalg.norm(mine) / max(np.linalg.norm(out), 1e-12))).astype(np.float32)
