@@ -101,6 +101,9 @@ class Scratch:
     def drop(self, name: str) -> None:
         """Removes a table that no later step reads; shuffle files of the steps behind it go with them, not when memory runs low."""
         remove(self.spark, f"{self.root}/{name}")
+        self.settle()
+
+    def settle(self) -> None:
         gc.collect()
         self.spark._jvm.System.gc()
 

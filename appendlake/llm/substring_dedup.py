@@ -11,8 +11,10 @@
    seeds in a second turn, so that none of LONG + LONG_SPAN - 1 or more equal
    words in a row is lost, however their parts are spread over earlier documents.
 2. A seed's first occurrence, by the least (doc_id, position), is its source: a
-   seed found in n documents makes n - 1 matches and no pairs. Minima are
-   pre-aggregated, and Spark splits a hot seed in the joins.
+   seed found in n documents makes n - 1 matches and no pairs. Seeds and matches
+   travel as arrays, a row of bytes a bucket of hashes or texts. A batch of texts
+   deals EACH seeds of a hash at most to its bucket; the others meet their
+   source in a join, in which Spark splits a hot seed.
 3. Matches of a document with one source document are chained: ordered in both
    texts, GAP a word skipped on either side, the best predecessor from a Fenwick
    tree of maxima over source positions. (If the matches are ordered in both
@@ -57,7 +59,13 @@ LEAST_CHAIN = 16  # words that a chain covers at least; a frequent line of fewer
 MATCHED, PASSAGE = 0.8, 50
 DROP = 8
 PAD, MORE, GRID = 32, 8, 32  # words fetched around a chain, MORE times as many each time they don't do; fetched spans begin and end on multiples of GRID
+EACH = 32  # seeds of one hash that a batch of texts deals to the hash's bucket; a join finds the matches of the others
+AT_ONCE = 1 << 18  # entries of whole buckets that are worked on together
 _U = np.uint64
+_ARRAYS = {"h": (_U, _U), "k": (np.int64, np.int32), "s": (np.int64, np.int32), "x": (np.int32, np.int16), "y": (np.int32, np.int16)}  # hash, text, source, twice the first word (one more: long), first word in the source
+_HALVES = ["h", *(c + half for c in "ksxy" for half in ("0", "1"))]  # apart, since upper halves are mostly alike and pack well
+_BLOBS = ", ".join(["kind tinyint, bucket int", *(f"{c} binary" for c in _HALVES)])
+SEEDS, HOT, FIRST, MATCHES, NEAR = range(5)
 
 
 def _key() -> F.Column:
@@ -111,40 +119,221 @@ def seeds_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate([s[keep], wide]), np.concatenate([doc[keep], doc[whole]]), np.concatenate([at[keep], at[whole]]), is_long
 
 
-def _seeds(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packed(kind: int, bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """Arrays that are in order of bucket, as a row of bytes for each bucket."""
+    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+    n, cols = len(edges) - 1, []
+    for name, (dtype, half) in _ARRAYS.items():
+        parts = np.dtype(dtype).itemsize // np.dtype(half).itemsize
+        if name not in columns:
+            cols += [pa.nulls(n, pa.binary())] * parts
+            continue
+        v, at = np.ascontiguousarray(columns[name], dtype).view(half), pa.py_buffer((edges * np.dtype(half).itemsize).astype(np.int32))
+        cols += [pa.Array.from_buffers(pa.binary(), n, [None, at, pa.py_buffer(np.ascontiguousarray(v[i::parts]))]) for i in range(parts)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(bucket[edges[:-1]].astype(np.int32)), *cols], names=["kind", "bucket", *_HALVES])
+
+
+def _unpacked(b: pa.RecordBatch, names: str) -> list[np.ndarray]:
+    out = []
+    for name in names:
+        dtype, half = _ARRAYS[name]
+        parts = []
+        for c in (b.column(i).cast(pa.binary()) for i, column in enumerate(b.schema.names) if column in _HALVES and column[0] == name):
+            at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[at[0] : at[-1]].view(half))
+        out.append(np.stack(parts, axis=1).reshape(-1).view(dtype))
+    return out
+
+
+def _whole(batches: Iterator[pa.RecordBatch], names: str) -> Iterator[list[np.ndarray]]:
+    """Arrays of whole buckets, AT_ONCE entries or more together; rows come in order of bucket."""
+    held: list[list[np.ndarray]] = []
+    size, last = 0, -1
+    for b in batches:
+        if not b.num_rows:
+            continue
+        bucket = b.column("bucket").to_numpy()
+        cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+        if cut or bucket[0] != last:
+            if cut:
+                held.append(_unpacked(b.slice(0, cut), names))
+                size, b = size + len(held[-1][0]), b.slice(cut)
+            if size >= AT_ONCE:
+                yield [np.concatenate(c) for c in zip(*held, strict=True)]
+                held, size = [], 0
+        held.append(_unpacked(b, names))
+        size, last = size + len(held[-1][0]), int(bucket[-1])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+    """One of n buckets (a power of two, at most 2^16) for each hash, from its first bits; hashes in order are in order of bucket."""
+    return (h >> _U(64 - n.bit_length() + 1)).astype(np.uint16) if n > 1 else np.zeros(len(h), np.uint16)
+
+
+def _repeated(h: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Marks the places in order, which sorts h, of hashes that occur twice or more."""
+    same = h[order[1:]] == h[order[:-1]]
+    return np.append(False, same)[: len(h)] | np.append(same, False)[: len(h)]
+
+
+def _dealt(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> Iterator[pa.RecordBatch]:
+    """Seeds (h, k, x) by the bucket of their hash. Of a hash with more than EACH seeds here, EACH stay, its first by (k, x) and its last;
+    the first has ~x then. The others go to buckets from n on, by hash and text, so that no bucket grows with the seeds of one hash."""
+    h, k, x = (np.concatenate(c) for c in zip(*found, strict=True))
+    if not len(h):
+        return
+    order = np.argsort(h)
+    twice = np.flatnonzero(_repeated(h, order))
+    part = order[twice]
+    order[twice] = part[np.lexsort((x[part], k[part], h[part]))]
+    h, k, x = h[order], k[order], x[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    size = np.diff(np.append(first, len(h)))
+    much = size > EACH
+    if much.any():
+        hot = np.zeros(len(h), bool)
+        for lo, m in zip(first[much].tolist(), size[much].tolist(), strict=True):
+            hot[lo + EACH - 1 : lo + m - 1] = True
+        x[first[much]] = ~x[first[much]]
+        rest = h[hot], k[hot], x[hot]
+        to = _bucket(C.mix64(rest[0] ^ C.mix64(rest[1].view(_U))), n)
+        by = np.argsort(to, kind="stable")
+        yield _packed(HOT, to[by].astype(np.int32) + n, h=rest[0][by], k=rest[1][by], x=rest[2][by])
+        h, k, x = h[~hot], k[~hot], x[~hot]
+    yield _packed(SEEDS, _bucket(h, n), h=h, k=k, x=x)
+
+
+def _by_text(kind: int, n: int, k: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(k):
+        to = _bucket(C.mix64(k.view(_U)), n)
+        by = np.argsort(to, kind="stable")
+        yield _packed(kind, to[by], k=k[by], **{name: c[by] for name, c in columns.items()})
+
+
+def _seeds(part: int, n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Seeds of a slice; x is twice the first word, one more for a long seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            k, found = b.column("k").to_numpy(), []
             for c in C.chunks(b.column("text")):
                 s, doc, at, is_long = seeds_of(c.hashes(), c.first)
                 mine = s % _U(SLICES) == part
                 s, doc, at, is_long = s[mine], doc[mine], at[mine], is_long[mine]
-                x = (at - c.first[doc]) * 2 + is_long
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), b.column("k").slice(c.lo, c.hi - c.lo).take(pa.array(doc)), pa.array(x.astype(np.int32))], names=["h", "k", "x"])
+                found.append((s, k[c.lo + doc], ((at - c.first[doc]) * 2 + is_long).astype(np.int32)))
+            if found:
+                yield from _dealt(found, n)
 
     return run
 
 
-def _all_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_long(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """All windows of LONG words that begin less than LONG_SPAN words from a position in `near`; x as in _seeds."""
-    for b in batches:
-        near = b.column("near")
-        for c in C.chunks(b.column("text")):
-            s, doc, at = C.shingles(c.hashes(), c.first, SEED)
-            there = np.diff(c.first)[doc] >= SEED
-            s, doc, at = s[there], doc[there], at[there]
-            wide, whole = _long(s, doc)
-            doc, at = doc[whole], at[whole]
-            own = near.slice(c.lo, c.hi - c.lo)
-            of = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
-            # One more where a neighbourhood begins and one less behind its end, both inside the text.
-            first, last, p = c.first[of], c.first[of + 1], c.first[of] + own.flatten().to_numpy()
-            edge = np.bincount(np.clip(p - LONG_SPAN + 1, first, last), minlength=c.first[-1] + 1) - np.bincount(np.clip(p + LONG_SPAN, first, last), minlength=c.first[-1] + 1)
-            mine = np.cumsum(edge)[at] > 0
-            wide, doc, at = wide[mine], doc[mine], at[mine]
-            x = (at - c.first[doc]) * 2 + 1
-            yield pa.RecordBatch.from_arrays([pa.array(wide.view(np.int64)), b.column("k").slice(c.lo, c.hi - c.lo).take(pa.array(doc)), pa.array(x.astype(np.int32))], names=["h", "k", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k, near, found = b.column("k").to_numpy(), b.column("near"), []
+            for c in C.chunks(b.column("text")):
+                s, doc, at = C.shingles(c.hashes(), c.first, SEED)
+                there = np.diff(c.first)[doc] >= SEED
+                s, doc, at = s[there], doc[there], at[there]
+                wide, whole = _long(s, doc)
+                doc, at = doc[whole], at[whole]
+                own = near.slice(c.lo, c.hi - c.lo)
+                of = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
+                # One more where a neighbourhood begins and one less behind its end, both inside the text.
+                first, last, p = c.first[of], c.first[of + 1], c.first[of] + own.flatten().to_numpy()
+                edge = np.bincount(np.clip(p - LONG_SPAN + 1, first, last), minlength=c.first[-1] + 1) - np.bincount(np.clip(p + LONG_SPAN, first, last), minlength=c.first[-1] + 1)
+                mine = np.cumsum(edge)[at] > 0
+                wide, doc, at = wide[mine], doc[mine], at[mine]
+                found.append((wide, k[c.lo + doc], ((at - c.first[doc]) * 2 + 1).astype(np.int32)))
+            if found:
+                yield from _dealt(found, n)
+
+    return run
+
+
+def _met(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole buckets of seeds to matches (k, s, x, y) and long shared seeds (k, x) by text, and first occurrences (h, s, y) of hashes with further seeds, which pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        aside: list[pa.RecordBatch] = []
+
+        def seeds() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cut = int(np.searchsorted(b.column("bucket").to_numpy(), n))
+                if cut < b.num_rows:
+                    aside.append(b.slice(cut))
+                yield b.slice(0, cut)
+
+        for h, k, x in _whole(seeds(), "hkx"):
+            while aside:
+                yield aside.pop()
+            order = np.argsort(h)
+            order = order[_repeated(h, order)]
+            h, k, x = h[order], k[order], x[order]
+            more, x = x < 0, np.where(x < 0, ~x, x)
+            order = np.lexsort((x, k, h))
+            h, k, x, more = h[order], k[order], x[order], more[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            size = np.diff(np.append(first, len(h)))
+            shared = k[first + size - 1] != k[first]
+            s, y, met = np.repeat(k[first], size), np.repeat(x[first] >> 1, size), np.repeat(shared, size)
+            hits, wide = met & (k != s), met & (x & 1 == 1)
+            yield from _by_text(MATCHES, n, k[hits], s=s[hits], x=x[hits], y=y[hits])
+            yield from _by_text(NEAR, n, k[wide], x=x[wide])
+            if more.any():
+                asked = first[shared & np.logical_or.reduceat(more, first)]
+                if len(asked):
+                    yield _packed(FIRST, np.zeros(len(asked), np.uint16), h=h[asked], s=k[asked], y=x[asked] >> 1)
+        yield from aside
+
+    return run
+
+
+def _plain(names: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each entry; hashes as signed numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == _U else c) for c in _unpacked(b, names)], names=list(names))
+
+    return run
+
+
+def _again(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (k, s, x, y) of met seeds, as _met has them."""
+
+    def close(held: list) -> Iterator[pa.RecordBatch]:
+        k, s, x, y = (np.concatenate(c) for c in zip(*held, strict=True))
+        hits, wide = k != s, x & 1 == 1
+        yield from _by_text(MATCHES, n, k[hits], s=s[hits], x=x[hits], y=y[hits])
+        yield from _by_text(NEAR, n, k[wide], x=x[wide])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for b in batches:
+            held.append([b.column(i).to_numpy() for i in range(4)])
+            if sum(len(c[0]) for c in held) >= AT_ONCE:
+                yield from close(held)
+                held = []
+        if held:
+            yield from close(held)
+
+    return run
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First words of a document's long shared seeds, as a list."""
+    for k, x in _whole(batches, "kx"):
+        order = np.argsort(k, kind="stable")
+        k, x = k[order], x[order] >> 1
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])[: len(k)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(k)).astype(np.int32)), pa.array(x.astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(k[first]), lists], names=["__k", "near"])
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -198,7 +387,7 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one document follow each other, in any order; a document may go on in the next batch. It has a match a seed at most."""
+    """Matches by text, in any order inside a bucket. A document has a match a seed at most."""
 
     def short(k: np.ndarray, src: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Matches ordered by document, source and position, those of long seeds made into those of SEED words in them, each match once."""
@@ -229,21 +418,9 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([*cols, *lists], names=["k", "src", "xs", "ys"])
 
-    held: list[list[np.ndarray]] = []  # the last document's rows, batch by batch
-    for b in batches:
-        cols = [b.column(i).to_numpy() for i in range(4)]
-        if not b.num_rows:
-            continue
-        ends = np.flatnonzero(np.append(bool(held) and held[-1][0][-1] != cols[0][0], cols[0][1:] != cols[0][:-1]))
-        if len(ends):
-            last = int(ends[-1])
-            whole = [np.concatenate(c) for c in zip(*held, [c[:last] for c in cols], strict=True)]
-            cols, held = [c[last:] for c in cols], []
-            if rows := close(*whole):
-                yield batch(rows)
-        held.append(cols)
-    if held and (rows := close(*(np.concatenate(c) for c in zip(*held, strict=True)))):
-        yield batch(rows)
+    for cols in _whole(batches, "ksxy"):
+        if rows := close(*cols):
+            yield batch(rows)
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,43 +580,45 @@ def _around(chains: DataFrame, pad: int) -> DataFrame:
     return chains.select("k", "src", lo("xs").alias("x0"), hi("xs").alias("x1"), lo("ys").alias("y0"), hi("ys").alias("y1"), "xs", "ys")
 
 
+def buckets(spark: SparkSession) -> int:
+    """A power of two, two or more for each task of a shuffle: what one bucket holds is worked on at once."""
+    return 1 << min(14, max(8, (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
+
+
 def spans(scratch: C.Scratch, docs: DataFrame, hold: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Aligned spans (k, dig, src, a, b, src_a, matched) of docs(__k, __dig, text), as a written table.
 
     With hold, also docs, written with a column __spans that is null where nothing was aligned: the
     texts are dealt once, and what is done with the spans needs those with spans only.
     """
-    save = scratch.save
-    parts, wide = [], []
-
-    def meet(seeds: DataFrame, name: str) -> DataFrame:
-        """Writes the matches of seeds, and gives all that documents share."""
-        seeds = save(seeds, f"seeds{name}")
-        # Minima of plain numbers, which Spark aggregates by hash; the source's position comes from its own rows among those of shared seeds.
-        first = seeds.groupBy("h").agg(F.min("k").alias("src"), F.max("k").alias("last")).where("src <> last").select("h", "src")
-        first = save(first, f"first{name}")
-        met = save(seeds.join(first, "h"), f"met{name}")
-        scratch.drop(f"seeds{name}")
-        scratch.drop(f"first{name}")
-        at = save(met.where("k = src").groupBy("h").agg(F.shiftright(F.min("x"), 1).alias("y")), f"at{name}")  # written: an aggregate under the join would keep Spark from splitting a hot seed
-        parts.append(save(met.where("k <> src").join(at.hint("shuffle_hash"), "h").select("k", "src", "x", "y"), f"matches{name}"))
-        scratch.drop(f"at{name}")
-        return met
+    save, parts = scratch.save, []
+    n = buckets(scratch.spark)
+
+    def whole(blobs: DataFrame) -> DataFrame:
+        return blobs.repartition("bucket").sortWithinPartitions("bucket")
+
+    def of(kind: int) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, parts).where(F.col("kind") == kind)
+
+    def meet(seeds: DataFrame, name: str) -> None:
+        """Writes what becomes of seeds that documents share: matches, and the long ones among them."""
+        met = save(whole(seeds).mapInArrow(_met(n), _BLOBS), f"met{name}")
+        # Both sides are read from a table, so that Spark can split a hot hash in their join.
+        hot = met.where(F.col("kind") == HOT).mapInArrow(_plain("hkx"), "h long, k long, x int")
+        first = met.where(F.col("kind") == FIRST).mapInArrow(_plain("hsy"), "h long, s long, y int")
+        with C.unmeasured(scratch.spark):
+            more = save(hot.join(first.hint("shuffle_hash"), "h").select("k", "s", "x", "y").mapInArrow(_again(n), _BLOBS), f"more{name}")
+        scratch.settle()
+        parts.extend([met, more])
 
     for i in range(SLICES):
-        met = meet(docs.select(F.col("__k").alias("k"), "text").mapInArrow(_seeds(i), "h long, k long, x int"), str(i))
-        wide.append(save(met.where("x & 1 = 1").select("k", F.shiftright("x", 1).alias("x")), f"wide{i}"))
-        scratch.drop(f"met{i}")
-    near = functools.reduce(DataFrame.unionByName, wide).groupBy(F.col("k").alias("__k")).agg(F.collect_list("x").alias("near"))
-    meet(docs.select("__k", "text").join(near.hint("shuffle_hash"), "__k").select(F.col("__k").alias("k"), "text", "near").mapInArrow(_all_long, "h long, k long, x int"), "all")
-    for name in ("metall", *(f"wide{i}" for i in range(SLICES))):
-        scratch.drop(name)
-    matches = functools.reduce(DataFrame.unionByName, parts)
-    ordered = matches.repartition("k").sortWithinPartitions("k")
-    with C.unmeasured(scratch.spark):
-        chains = save(ordered.mapInArrow(_chains, "k long, src long, xs array<int>, ys array<int>"), "chains")
-    for name in (*range(SLICES), "all"):
-        scratch.drop(f"matches{name}")
+        meet(docs.select(F.col("__k").alias("k"), "text").mapInArrow(_seeds(i, n), _BLOBS), str(i))
+    near = save(whole(of(NEAR)).mapInArrow(_near, "__k long, near array<int>"), "near")
+    meet(docs.select("__k", "text").join(near.hint("shuffle_hash"), "__k").select(F.col("__k").alias("k"), "text", "near").mapInArrow(_all_long(n), _BLOBS), "all")
+    chains = save(whole(of(MATCHES)).mapInArrow(_chains, "k long, src long, xs array<int>, ys array<int>"), "chains")
+    for name in (f"{table}{i}" for i in (*range(SLICES), "all") for table in ("met", "more")):
+        C.remove(scratch.spark, f"{scratch.root}/{name}")
+    scratch.drop("near")
     out, held, pad, turn = None, docs, PAD, 0
     while turn == 0 or not chains.isEmpty():
         chains = _around(chains, pad)
