@@ -46,6 +46,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,9 +120,10 @@ def seeds_of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.concatenate([s[keep], wide]), np.concatenate([doc[keep], doc[whole]]), np.concatenate([at[keep], at[whole]]), is_long
 
 
-def _packed(kind: int, bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
-    """Arrays that are in order of bucket, as a row of bytes for each bucket."""
-    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+def _packed(kind: int, bucket: np.ndarray, by: np.ndarray | None = None, **columns: np.ndarray) -> pa.RecordBatch:
+    """Arrays that are in order of bucket (or by), as a row of bytes for each value of it."""
+    by = bucket if by is None else by
+    edges = np.append(np.flatnonzero(np.append(True, by[1:] != by[:-1])), len(by))
     n, cols = len(edges) - 1, []
     for name, (dtype, half) in _ARRAYS.items():
         parts = np.dtype(dtype).itemsize // np.dtype(half).itemsize
@@ -180,7 +182,7 @@ def _repeated(h: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def _dealt(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> Iterator[pa.RecordBatch]:
     """Seeds (h, k, x) by the bucket of their hash. Of a hash with more than EACH seeds here, EACH stay, its first by (k, x) and its last;
-    the first has ~x then. The others go to buckets from n on, by hash and text, so that no bucket grows with the seeds of one hash."""
+    the first has ~x then. The others, a row a hash, go to buckets from n on by hash and text, so that no bucket grows with the seeds of one hash."""
     h, k, x = (np.concatenate(c) for c in zip(*found, strict=True))
     if not len(h):
         return
@@ -199,8 +201,7 @@ def _dealt(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int) -> It
         x[first[much]] = ~x[first[much]]
         rest = h[hot], k[hot], x[hot]
         to = _bucket(C.mix64(rest[0] ^ C.mix64(rest[1].view(_U))), n)
-        by = np.argsort(to, kind="stable")
-        yield _packed(HOT, to[by].astype(np.int32) + n, h=rest[0][by], k=rest[1][by], x=rest[2][by])
+        yield _packed(HOT, to.astype(np.int32) + n, rest[0], h=rest[0], k=rest[1], x=rest[2])
         h, k, x = h[~hot], k[~hot], x[~hot]
     yield _packed(SEEDS, _bucket(h, n), h=h, k=k, x=x)
 
@@ -304,24 +305,26 @@ def _plain(names: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def _again(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (k, s, x, y) of met seeds, as _met has them."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one hash each, with the hash as a signed number."""
+    for b in batches:
+        if b.num_rows:
+            (h,), size = _unpacked(b, "h"), pc.binary_length(b.column("h")).to_numpy() // 8
+            rest = ["k0", "k1", "x0", "x1"]
+            yield pa.RecordBatch.from_arrays([pa.array(h[np.cumsum(size) - size].view(np.int64)), *(b.column(c) for c in rest)], names=["h", *rest])
 
-    def close(held: list) -> Iterator[pa.RecordBatch]:
-        k, s, x, y = (np.concatenate(c) for c in zip(*held, strict=True))
-        hits, wide = k != s, x & 1 == 1
-        yield from _by_text(MATCHES, n, k[hits], s=s[hits], x=x[hits], y=y[hits])
-        yield from _by_text(NEAR, n, k[wide], x=x[wide])
+
+def _again(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of _rows with their source's s and y, as _met has met seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
         for b in batches:
-            held.append([b.column(i).to_numpy() for i in range(4)])
-            if sum(len(c[0]) for c in held) >= AT_ONCE:
-                yield from close(held)
-                held = []
-        if held:
-            yield from close(held)
+            if b.num_rows:
+                (k, x), size = _unpacked(b, "kx"), pc.binary_length(b.column("k0")).to_numpy() // 4
+                s, y = (np.repeat(b.column(c).to_numpy(), size) for c in ("s", "y"))
+                hits, wide = k != s, x & 1 == 1
+                yield from _by_text(MATCHES, n, k[hits], s=s[hits], x=x[hits], y=y[hits])
+                yield from _by_text(NEAR, n, k[wide], x=x[wide])
 
     return run
 
@@ -604,10 +607,9 @@ def spans(scratch: C.Scratch, docs: DataFrame, hold: bool = False) -> tuple[Data
         """Writes what becomes of seeds that documents share: matches, and the long ones among them."""
         met = save(whole(seeds).mapInArrow(_met(n), _BLOBS), f"met{name}")
         # Both sides are read from a table, so that Spark can split a hot hash in their join.
-        hot = met.where(F.col("kind") == HOT).mapInArrow(_plain("hkx"), "h long, k long, x int")
+        hot = met.where(F.col("kind") == HOT).mapInArrow(_rows, "h long, k0 binary, k1 binary, x0 binary, x1 binary")
         first = met.where(F.col("kind") == FIRST).mapInArrow(_plain("hsy"), "h long, s long, y int")
-        with C.unmeasured(scratch.spark):
-            more = save(hot.join(first.hint("shuffle_hash"), "h").select("k", "s", "x", "y").mapInArrow(_again(n), _BLOBS), f"more{name}")
+        more = save(hot.join(first.hint("shuffle_hash"), "h").drop("h").mapInArrow(_again(n), _BLOBS), f"more{name}")
         scratch.settle()
         parts.extend([met, more])
 
