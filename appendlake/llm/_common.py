@@ -7,6 +7,7 @@ that a lost executor costs a recomputation and never a file.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import uuid
@@ -18,6 +19,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +82,33 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(jpath, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Hands memory that the driver's JVM and Python have freed back to the system.
+
+    Both allocate by malloc beside their heaps (compilers, buffers, threads), which keeps what is freed: over a
+    session of many plans some 200 MB. Where libc or the JVM has no such command, nothing is done.
+    """
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another libc
+        pass
+    jvm, kind = spark._jvm, spark._jvm.java.lang.Class.forName
+
+    def array(of: str, *values: object) -> object:
+        out = spark.sparkContext._gateway.new_array(getattr(jvm.java.lang, of), len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    server, name = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), "com.sun.management:type=DiagnosticCommand"
+    # By its interface, since the server's own class isn't public.
+    invoke = kind("javax.management.MBeanServer").getMethod("invoke", array("Class", *map(kind, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))))
+    try:
+        invoke.invoke(server, array("Object", jvm.javax.management.ObjectName(name), "systemTrimNativeHeap", array("Object"), array("String")))
+    except Py4JJavaError:  # a JVM before 17.0.9, or of another system or vendor
+        return
+
+
 class Scratch:
     """Tables written to the shared folder: lineage ends there and any executor can read them again."""
 
@@ -97,6 +126,7 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         # No marker of success: nothing looks for it, and on a local disk the driver starts commands to write one.
         df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{self.root}/{name}")
+        give_back(self.spark)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
@@ -107,6 +137,7 @@ class Scratch:
     def settle(self) -> None:
         gc.collect()
         self.spark._jvm.System.gc()
+        give_back(self.spark)
 
 
 def spare(columns: list[str], name: str) -> str:
