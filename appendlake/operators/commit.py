@@ -3,11 +3,13 @@
 A commit is planned by rank, not by bucket, so that no bucket is bound to one task:
 
 1. The new rows, and the rows of the last part of each touched bucket if that has
-   room, are sorted by ranges of (keys, old before new, sort hints) and staged.
+   room, are sorted by ranges of (keys, old before new, sort hints, arrival) and staged.
 2. A row's rank in its bucket is its place in its range plus what earlier ranges
    hold of the bucket; file number = first number + rank // rows_per_file.
 3. Rows are dealt by (keys, file number), so that each file is one task's, sorted,
    and written below .staging.
+   Parquet on a shared disk needs no dealing and no old rows in the sort: there the
+   driver cuts the staged files into parts, and tasks copy them (parts.py).
 4. The moves are journalled, done and the journal deleted. A writer that opens the
    table replays a journal that is still there.
 
@@ -21,7 +23,6 @@ import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 from typing import TYPE_CHECKING, Any
-from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 
 from ..errors import LockedTableError
 from ..sources.files import parquet_options, row_lens, scan_files, sink_files
+from . import parts as direct
 
 if TYPE_CHECKING:
     from ..table import Table
@@ -140,23 +142,76 @@ class TableWriter:
         frames = []
         for n, p in enumerate(parts):
             df = self.spark.read.schema(t.struct).parquet(p.path)
-            frames.append(t.with_keys(df, p.rows).withColumns({"__old": F.lit(1 + n), "__at": F.lit(0).cast("bigint")}))
+            # Arrival tells equal rows apart, so that ranges can split them.
+            frames.append(t.with_keys(df, p.rows).withColumns({"__old": F.lit(1 + n), "__at": F.monotonically_increasing_id()}))
         new = frames[0]
         for f in frames[1:]:
             new = new.unionByName(f)
         commit = f"{self.staging}/commit-{self.commits}"
         self.commits += 1
-        firsts, tails = self._tails(new.select(*keys).distinct().collect() if keys else [()])
+        moves = self._write(new, keys, commit)
+        journal = f"{self.staging}/journal-{self.commits}.json"
+        self.files.create(journal, json.dumps({"moves": moves, "mark": mark}))
+        self._apply(moves, mark)
+        self.files.remove(journal)
+        for path in (commit, f"{commit}-ranked", *(p.path for p in parts)):
+            self.files.remove(path)
+        t.forget()
+
+    def _write(self, new: DataFrame, keys: list[str], commit: str) -> list[tuple[str, str, bool]]:
+        """Writes the new files and gives their moves: (path, target, whether it tops up a part that is there)."""
+        t, moves = self.table, None
+        if self.files.local(t.path) and t.format == "parquet" and direct.fits(t.struct, t.compression):
+            moves = self._cut(new, keys, commit)
+        return self._deal(new, keys, commit) if moves is None else moves
+
+    def _sorted(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Ranges of rows as they are to lie in a bucket: old before new, by the sort hints or by frame, then as they came."""
+        hints = sort_columns(self.table)
+        frame = F.col("__old") if self.ordered or not hints else F.least("__old", F.lit(1))
+        order = [*(self._held_as(k).asc_nulls_first() for k in keys), frame, F.when(F.col("__old") == 0, F.col("__at")), *hints, F.col("__at")]
+        return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def _held_as(self, key: str) -> Column:
+        """A key as its folder tells it: an empty text lies with the nulls."""
+        return F.when(F.col(key) != "", F.col(key)) if self.table.key_types[key] == "string" else F.col(key)
+
+    def _cut(self, new: DataFrame, keys: list[str], commit: str) -> list[tuple[str, str, bool]] | None:
+        """Writes the new files from the sorted rows, as they lie; None for folders whose names the JVM may spell otherwise than Python."""
+        t, ranked = self.table, f"{commit}-ranked"
+        self._sorted(new, keys).drop("__at", "__old").write.parquet(ranked)
+        files = {f.name: (f"{self.files.local(f.path)}", i) for i, f in enumerate(self.files.walk(ranked))}
+        held = self.spark.read.schema(t.struct_with_keys).parquet(ranked).groupBy(F.col("_metadata.file_name").alias("__name"), *(self._held_as(k).alias(k) for k in keys)).agg(F.min("_metadata.row_index"), F.count("*")).collect()
+        found = sorted((files[r[0]][1], r[-2], tuple(r[1:-2]), files[r[0]][0], r[-1]) for r in held)
+        buckets = list(dict.fromkeys(f[2] for f in found))
+        folders = {b: self._folder(keys, b) for b in buckets}
+        if not all(f.isascii() for f in folders.values()):
+            self.files.remove(ranked)
+            return None
+        last = self._last(buckets)
+        cut = direct.plan(((b, path, at, n) for _, at, b, path, n in found), {b: (i, self.files.local(p) if p else None, n) for b, (i, p, n) in last.items()}, t.options.rows_per_file)
+        made = direct.PartWriter.of(self.files.local(commit), t.schema, t.struct, t.compression_level, t.compression, self.spark.version)
+        sc, work = self.spark.sparkContext, [(n, pieces) for n, (_, _, pieces) in enumerate(cut)]
+        written = sc.parallelize(work, min(len(work), 4 * sc.defaultParallelism)).mapPartitions(made).collect()
+        if sorted(n for n, _ in written) != list(range(len(cut))):
+            raise RuntimeError(f"{len(written)} of {len(cut)} parts are there")
+        topped, moves = {(b, i) for b, (i, p, _) in last.items() if p}, []
+        for n, path in written:
+            b, i, _ = cut[n]
+            moves.append((f"file:{path}", "/".join(filter(None, [t.path, folders[b], t.part_file(i)])), (b, i) in topped))
+        return moves
+
+    def _deal(self, new: DataFrame, keys: list[str], commit: str) -> list[tuple[str, str, bool]]:
+        """Writes the new files by Spark's writers, one task for each file."""
+        t = self.table
+        last = self._last([tuple(r) for r in new.select(*keys).distinct().collect()] if keys else [()])
+        firsts, tails = [(*b, i) for b, (i, _, _) in last.items()], [p for _, p, _ in last.values() if p]
         rows = new
         if tails:
             old = scan_files(self.spark, tails, t.format, t.struct_with_keys, base=t.path) if t.format != "csv" else self._csv_tails(tails)
-            at = F.monotonically_increasing_id()
-            rows = new.unionByName(old.select(*t.struct.fieldNames(), *keys).withColumns({"__old": F.lit(0), "__at": at}))
-        order = [*(F.col(k).asc_nulls_first() for k in keys), *([F.col("__old")] if self.ordered or not sort_columns(t) else [F.least("__old", F.lit(1))]), F.when(F.col("__old") == 0, F.col("__at")), *sort_columns(t)]
-        if len(order) > 1 or keys:
-            rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+            rows = new.unionByName(old.select(*t.struct.fieldNames(), *keys).withColumns({"__old": F.lit(0), "__at": F.monotonically_increasing_id()}))
         ranked = f"{commit}-ranked"
-        rows.withColumn("__id", F.monotonically_increasing_id()).drop("__at").write.parquet(ranked)
+        self._sorted(rows, keys).withColumn("__id", F.monotonically_increasing_id()).drop("__at").write.parquet(ranked)
         stored = self.spark.read.schema(T.StructType([*t.struct_with_keys.fields, T.StructField("__old", T.IntegerType()), T.StructField("__id", T.LongType())])).parquet(ranked)
         stored = stored.withColumn("__part", F.shiftright("__id", 33).cast("int"))
         # What earlier ranges hold of each bucket: a row for each (range, bucket) that meet.
@@ -170,14 +225,7 @@ class TableWriter:
         numbered = ranked_rows.withColumn("__file", F.expr(f"__start + (__before + __id - __first) div {cap}L"))
         # One task for each file; equal (keys, file) come together.
         dealt = numbered.repartition(*keys, "__file").sortWithinPartitions(*(F.col(k).asc_nulls_first() for k in keys), "__file", "__id")
-        moves = self._write(dealt, keys, commit, tails)
-        journal = f"{self.staging}/journal-{self.commits}.json"
-        self.files.create(journal, json.dumps({"moves": moves, "mark": mark}))
-        self._apply(moves, mark)
-        self.files.remove(journal)
-        for path in (commit, ranked, *(p.path for p in parts)):
-            self.files.remove(path)
-        t.forget()
+        return self._sink(dealt, keys, commit, tails)
 
     def _key_type(self, key: str) -> T.DataType:
         return {"bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType()}[self.table.key_types[key]]
@@ -194,24 +242,21 @@ class TableWriter:
             cond = one if cond is None else cond & one
         return left.join(named, cond).drop(*(f"__r_{k}" for k in on))
 
-    def _tails(self, buckets: list) -> tuple[list[tuple], list[str]]:
-        """(keys, first file number) of each bucket, and the last parts that have room."""
+    def _last(self, buckets: list[tuple]) -> dict[tuple, tuple[int, str | None, int]]:
+        """Of each bucket the number of the first file to write, and the last part and its rows if that has room."""
         t = self.table
+        if not t.exists:
+            return dict.fromkeys(buckets, (0, None, 0))
 
         def last_part(b: Any) -> tuple[int, str | None]:
             there = self.files.children(f"{t.path}/{self._folder(list(t.key_types), b)}".rstrip("/"))
             found = [(i, p) for p in there if (i := t.part_index(p.rpartition("/")[2])) is not None]
             return max(found, default=(-1, None))
 
-        last = dict(zip(map(tuple, buckets), self.files.each(last_part, buckets), strict=True))  # the touched buckets' folders only
+        # The touched buckets' folders only.
+        last = dict(zip(buckets, map(last_part, buckets) if self.files.local(t.path) else self.files.each(last_part, buckets), strict=True))
         lens = row_lens(self.spark, [p for _, p in last.values() if p], t.format, t.struct)
-        firsts, tails = [], []
-        for b, (i, path) in last.items():
-            room = path is not None and lens[path] < t.options.rows_per_file
-            firsts.append((*b, i if room else i + 1))
-            if room:
-                tails.append(path)
-        return firsts, tails
+        return {b: (i, p, lens[p]) if p is not None and lens[p] < t.options.rows_per_file else (i + 1, None, 0) for b, (i, p) in last.items()}
 
     def _csv_tails(self, paths: list[str]) -> DataFrame:
         df = scan_files(self.spark, paths, "csv", self.table.struct)
@@ -220,10 +265,10 @@ class TableWriter:
     @staticmethod
     def _folder(keys: list[str], values: Any) -> str:
         """Hive folders as Spark names them."""
-        special = "".join(c for c in map(chr, range(32, 127)) if c not in "\"#%'*/:=?\\\x7f{[]^")
-        return "/".join(f"{k}={DEFAULT if v is None or v == '' else quote(str(v), safe=special)}" for k, v in zip(keys, values, strict=True))
+        escape = lambda v: "".join(f"%{ord(c):02X}" if 0 < ord(c) < 32 or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in str(v))
+        return "/".join(f"{k}={DEFAULT if v is None or v == '' else escape(v)}" for k, v in zip(keys, values, strict=True))
 
-    def _write(self, dealt: DataFrame, keys: list[str], commit: str, tails: list[str]) -> list[tuple[str, str, bool]]:
+    def _sink(self, dealt: DataFrame, keys: list[str], commit: str, tails: list[str]) -> list[tuple[str, str, bool]]:
         """Writes the new files and gives their moves; what is there already under a new file's name is a tail that it tops up."""
         t, moves = self.table, []
         if t.format == "ipc":

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import unquote, urlsplit
 
@@ -44,7 +46,20 @@ def scan_files(spark: SparkSession, paths: str | list[str], format: str | None =
         reader = reader.option("basePath", base)
     if format == "csv":
         reader = reader.option("header", True).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").option("emptyValue", "").option("nullValue", "\\N")
-    return reader.load(paths)
+    with _few_listings(spark):
+        return reader.load(paths)
+
+
+@contextlib.contextmanager
+def _few_listings(spark: SparkSession) -> Iterator[None]:
+    """Spark lists each folder by a task of its own, of 10,000 at most; here a task lists many."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), 8 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def parquet_options(schema, level: int | None, compression: str) -> dict[str, str]:
@@ -85,8 +100,8 @@ def row_lens(spark: SparkSession, paths: list[str], format: str, schema: T.Struc
     """Rows of each file in one job, of parquet from the footers alone: no column is read."""
     if not paths:
         return {}
-    if format == "ipc":
-        return ipc.row_lens(spark, paths)
+    if format == "ipc" or format == "parquet" and all(p.startswith("file:") for p in paths):
+        return ipc.row_lens(spark, paths, format)
     found = scan_files(spark, paths, format, schema).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n"))
     # Spark gives paths as URIs, in which what a folder's name escapes is escaped once more.
     plain = {_local(p): p for p in paths}
