@@ -73,27 +73,37 @@ class PartWriter:
 
 
 class _Rows:
-    """Rows of files by their place. The last file stays open, since pieces mostly go on where the last one ended."""
+    """Rows of files by their place. Two files stay open, since pieces of the sorted file go on where the last one ended, whatever parts are topped up between them."""
 
     def __init__(self, schema: pa.Schema):
-        self.schema, self.path, self.at = schema, None, 0
-        self.rest: Iterator[pa.RecordBatch] = iter(())
-        self.batch: pa.RecordBatch | None = None
+        self.schema = schema
+        self.files: dict[str, _File] = {}  # the last one used last
+
+    def of(self, path: str, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        file = self.files.pop(path, None)
+        if file is None or lo < file.at:
+            file = _File(path, lo, self.schema)
+        while len(self.files) > 1:
+            del self.files[next(iter(self.files))]
+        self.files[path] = file
+        return file.rows(lo, hi)
+
 
-    def _open(self, path: str, lo: int) -> None:
+class _File:
+    """A file that is read forwards, from the row group that has the first row asked for."""
+
+    def __init__(self, path: str, lo: int, schema: pa.Schema):
         file = pq.ParquetFile(path, coerce_int96_timestamp_unit="us")
         there = {name.lower(): i for i, name in enumerate(file.schema_arrow.names)}
-        self.columns = [there.get(f.name.lower()) for f in self.schema]
+        self.schema, self.columns = schema, [there.get(f.name.lower()) for f in schema]
         group, self.at = 0, 0
         while group < file.num_row_groups and self.at + file.metadata.row_group(group).num_rows <= lo:
             self.at += file.metadata.row_group(group).num_rows
             group += 1
-        self.path, self.batch = path, None
+        self.batch: pa.RecordBatch | None = None
         self.rest = file.iter_batches(BATCH_ROWS, row_groups=range(group, file.num_row_groups), use_threads=False)
 
-    def of(self, path: str, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
-        if path != self.path or lo < self.at:
-            self._open(path, lo)
+    def rows(self, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         while lo < hi:
             while self.batch is None or self.at + self.batch.num_rows <= lo:
                 self.at += self.batch.num_rows if self.batch is not None else 0
