@@ -21,6 +21,7 @@ from .errors import AppendlakeWarning, TableLayoutError
 from .operators.builder import TableBuilder
 from .operators.commit import WriterOptions
 from .operators.dedupe import bloom_params
+from .operators.quantiles import exact_quantile
 from .operators.scratch import Scratch
 from .plans.partitioning import DictionaryPartition, MonoPartition, RowLenPartition, TimePartition
 from .schema import Schema
@@ -342,8 +343,15 @@ def join_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of lines and of their orders. A row of each set of flags that an order has is marked, and the marks add up to distinct orders."""
     t = stored(spark, sf_dir, "lineitem", LINEITEM, TimePartition("l_shipdate", "year"))
-    return t.scan().cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.countDistinct("l_orderkey").alias("orders"))
+    f, s, order = "l_returnflag", "l_linestatus", "l_orderkey"
+    seen = t.scan().groupBy(order, f, s).agg(F.count("*").alias("n")).repartition(order)
+    first = lambda by, then: (F.col(order).isNotNull() & (F.row_number().over(Window.partitionBy(*by).orderBy(*then)) == 1)).cast("bigint")
+    marked = seen.select(f, s, "n", F.col(order).isNotNull().cast("bigint").alias("of_both"), first([order, f], [s]).alias("of_flag"), first([order, s], [f]).alias("of_status"), first([order], [f, s]).alias("of_all"))
+    small = marked.groupBy(f, s).agg(*(F.sum(c).alias(c) for c in ("n", "of_both", "of_flag", "of_status", "of_all")))
+    orders = F.coalesce(*(F.when(F.grouping_id() == i, F.sum(c)) for i, c in enumerate(("of_both", "of_flag", "of_status", "of_all"))))
+    return small.cube(f, s).agg(F.sum("n").alias("n"), orders.alias("orders"))
 
 
 def agg_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,10 +361,16 @@ def agg_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Approximate distinct counts and medians lie within a tenth of the exact ones."""
-    o = _orders(spark, sf_dir).scan()
+    """Approximate distinct counts and medians lie within a tenth of the exact ones. Each is an aggregate of its own: beside a distinct count, the states of the others would be kept for each distinct value."""
+    status, customer, price = "o_orderstatus", "o_custkey", "o_totalprice"
+    # A task gives a summary of some 10,000 values a group, so that their number has a bound.
+    o = Scratch(spark).save(_orders(spark, sf_dir).scan().select(status, customer, price).coalesce(4 * spark.sparkContext.defaultParallelism), "orders")
     near = lambda a, b: F.abs(a - b) <= 0.1 * b
-    return o.groupBy("o_orderstatus").agg(near(F.approx_count_distinct("o_custkey", 0.02), F.countDistinct("o_custkey")).alias("distinct_near"), near(F.percentile_approx("o_totalprice", 0.5, 10_000), F.percentile("o_totalprice", F.lit(0.5))).alias("median_near"))
+    rough = o.groupBy(status).agg(F.approx_count_distinct(customer, 0.02).alias("rough_n"), F.percentile_approx(price, 0.5, 10_000).alias("rough_median"))
+    counts = o.select(status, customer).distinct().groupBy(F.col(status).alias("of_n")).agg(F.count(customer).alias("n"))
+    medians = exact_quantile(o, status, price, 0.5).withColumnRenamed(status, "of_median")
+    all_of = rough.join(counts, F.col(status).eqNullSafe(F.col("of_n"))).join(medians, F.col(status).eqNullSafe(F.col("of_median")), "left")
+    return all_of.select(status, near(F.col("rough_n"), F.col("n")).alias("distinct_near"), near(F.col("rough_median"), F.col("quantile")).alias("median_near"))
 
 
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
