@@ -141,8 +141,8 @@ def ordered_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     with t.writer(ordered=True) as w:
         for i in (2, 0, 1):
             w.stage_frame(orders.where(f"o_orderkey % 3 = {i}"), index=i)
-    seen = _positions(t).select((F.col("o_orderkey") % 3).alias("frame"), "file_no", "row_index")
-    return seen.groupBy("frame").agg(F.min("row_index").alias("first_row"), F.count("*").alias("n"))
+    seen = _positions(t).select((F.col("o_orderkey") % 3).alias("frame"), (F.col("file_no") * t.options.rows_per_file + F.col("row_index")).alias("row"))
+    return seen.groupBy("frame").agg(F.min("row").alias("first_row"), F.count("*").alias("n"))
 
 
 def empty_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
